@@ -1,0 +1,94 @@
+"""End-to-end data plans over the driver's tables, with the fixture pins.
+
+Every function takes ``(spark, sf_dir)`` and returns a lazy DataFrame; the
+few scalars they need (vocabulary words, per-split counts) come from small
+bounded jobs.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import EOS_ID, PINS, Pins
+from ..functions.arrays import mask_source, token_count
+from ..operators import batching as B
+from ..operators.prompts import build_examples, build_prompts
+from ..operators.tokenize import Vocabulary, fit_vocabulary, tokenize
+from ..sources.instructions import instructions_from_conversations
+from ..sources.tables import table
+
+PAD_ID = EOS_ID  # the reference sets pad = eos
+
+
+def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 adapter: instruction rows from ``conversations``."""
+    return instructions_from_conversations(table(spark, sf_dir, "conversations"))
+
+
+@lru_cache(maxsize=16)
+def _vocab(spark: SparkSession, sf_dir: str, n_words: int) -> Vocabulary:
+    return fit_vocabulary(table(spark, sf_dir, "conversations"), "text", n_words)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> Vocabulary:
+    """Top-``n_words`` vocabulary fitted on every conversation text."""
+    return _vocab(spark, sf_dir, pins.n_words)
+
+
+def prompts(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """P3 + P5: ``(id, text, input_ids, n_tokens)``; ids untruncated (F1 counts them whole)."""
+    vocab = vocabulary(spark, sf_dir, pins)
+    p = build_prompts(instructions(spark, sf_dir), pins.template)
+    return tokenize(p, "text", vocab, "input_ids", max_length=None, add_bos=pins.add_bos, count_col="n_tokens")
+
+
+def filtered_prompts(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """F1 applied to :func:`prompts`."""
+    return prompts(spark, sf_dir, pins).filter(F.col("n_tokens") < pins.prompt_limit)
+
+
+def examples(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """Offline examples: B1 split (before filtering) -> P4 -> P5 (both texts) -> F2 -> P6/P7.
+
+    Test rows get source labels masked, train rows keep them (train_on_inputs).
+    """
+    vocab = vocabulary(spark, sf_dir, pins)
+    ins = B.split_train_test(instructions(spark, sf_dir), "id", seed=pins.seed)
+    ex = build_examples(ins, pins.template, keep=("split",))
+    ex = tokenize(ex, "source", vocab, "source_ids", add_bos=pins.add_bos)
+    ex = tokenize(ex, "example", vocab, "input_ids", add_bos=pins.add_bos)
+    ex = ex.withColumn("n_tokens", F.size("input_ids"))
+    ex = ex.filter(F.col("n_tokens") < pins.model_max_length)
+    ex = ex.withColumn("source_len", token_count("source_ids", PAD_ID))
+    labels = F.when(F.col("split") == "test", mask_source("input_ids", "source_len")).otherwise(F.col("input_ids"))
+    return ex.select("id", "split", "input_ids", labels.alias("labels"), "n_tokens", "source_len")
+
+
+def split_counts(df: DataFrame, split_col: str = "split") -> dict[str, int]:
+    """Rows per split (one small aggregate; a handful of rows reach the driver)."""
+    return {r[split_col]: r["count"] for r in df.groupBy(split_col).count().collect()}
+
+
+def shard_and_batch(df: DataFrame, pins: Pins = PINS, shuffle_splits: tuple[str, ...] = ("train",)) -> DataFrame:
+    """B2-B4 per split: seeded shuffle for train, id order for the rest, then shard and batch."""
+    counts = split_counts(df)
+    parts = []
+    for split, n in sorted(counts.items()):
+        part = df.filter(F.col("split") == split)
+        if split in shuffle_splits:
+            part = B.shuffle_index(part, "id", pins.seed)
+        else:
+            part = B.ordered_index(part, "id")
+        part = B.shard(part, pins.world_size, n=n)
+        parts.append(B.assign_batches(part, pins.batch_size))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def batched_examples(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    return shard_and_batch(examples(spark, sf_dir, pins), pins)
