@@ -18,12 +18,22 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def _minus(arr: Column, scalar: Column) -> Column:
+    """``arr - scalar`` elementwise.
+
+    The scalar enters through ``array_repeat`` so that the lambda only reads
+    lambda variables: a lambda that names an outer expression gets it inlined
+    and re-evaluated for every element (quadratic per row).
+    """
+    return F.zip_with(arr, F.array_repeat(scalar, F.size(arr)), lambda x, s: x - s)
+
+
 def log_softmax(logits: Column | str) -> Column:
     """A1: max-shifted log-softmax, computed in double."""
     z = F.transform(_c(logits), lambda x: x.cast("double"))
-    mx = F.array_max(z)
-    lse = mx + F.log(_sum(F.transform(z, lambda x: F.exp(x - mx))))
-    return F.transform(z, lambda x: x - lse)
+    shifted = _minus(z, F.array_max(z))
+    lse = F.log(F.aggregate(shifted, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x)))
+    return _minus(shifted, lse)
 
 
 def kl(log_a: Column | str, log_b: Column | str) -> Column:

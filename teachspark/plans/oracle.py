@@ -131,6 +131,78 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def _lm(name: str, corpus: str, alpha: float) -> dict[str, tuple[str, tuple[str, ...]]]:
+    k = P.unigram_k
+    return {
+        f"bg_{name}": (
+            f"""SELECT s[i] AS ctx, s[i + 1] AS tok, count(*) AS n
+                FROM (SELECT [1] || {tok('text')} || [2] AS s FROM ({corpus}), vm), unnest(range(1, len(s))) AS r(i)
+                GROUP BY 1, 2""",
+            ("vm",),
+        ),
+        f"lm_{name}": (
+            f"""SELECT g.ctx::INTEGER AS ctx, g.tok::INTEGER AS tok,
+                       ln((coalesce(b.n, 0) + {alpha} * (coalesce(u.n, 0) + {k}) / (tot.n + {k} * {V}))
+                          / (coalesce(c.n, 0) + {alpha})) AS logp
+                FROM (SELECT c.ctx, t.tok FROM range(1, {V} + 1) c(ctx), range(1, {V} + 1) t(tok)) g
+                LEFT JOIN bg_{name} b ON b.ctx = g.ctx AND b.tok = g.tok
+                LEFT JOIN (SELECT ctx, sum(n) AS n FROM bg_{name} GROUP BY ctx) c ON c.ctx = g.ctx
+                LEFT JOIN (SELECT tok, sum(n) AS n FROM bg_{name} GROUP BY tok) u ON u.tok = g.tok,
+                (SELECT sum(n) AS n FROM bg_{name}) tot""",
+            (f"bg_{name}",),
+        ),
+    }
+
+
+CTES.update(_lm("t", "SELECT text FROM documents WHERE lang = 'en' UNION ALL SELECT text FROM conversations", P.teacher_alpha))
+CTES.update(_lm("s", "SELECT text FROM conversations WHERE conv_id % 2 = 0", P.student_alpha))
+CTES.update(
+    {
+        "cdiv": (
+            f"""SELECT ctx, sum(exp(lp) * (lp - lq)) AS kl_ts, sum(exp(lq) * (lq - lp)) AS kl_st,
+                       0.5 * sum(exp(lm) * (lm - lp)) + 0.25 * sum(exp(lm) * (lm - lq)) AS jsd_ref
+                FROM (SELECT t.ctx, t.logp AS lp, s.logp AS lq, ln(0.5 * exp(t.logp) + 0.5 * exp(s.logp)) AS lm
+                      FROM lm_t t JOIN lm_s s ON s.ctx = t.ctx AND s.tok = t.tok)
+                GROUP BY ctx""",
+            ("lm_t", "lm_s"),
+        ),
+        "pos": (
+            """SELECT id, split, rank, batch_no, (i - 1)::INTEGER AS pos, input_ids[i] AS ctx, input_ids[i + 1] AS next_tok
+               FROM (SELECT *, unnest(range(1, len(input_ids))) AS i FROM ex_b)
+               WHERE input_ids[i + 1] <> 2""",
+            ("ex_b",),
+        ),
+        "bdiv": (
+            """SELECT split, rank, batch_no, count(*)::BIGINT AS n_positions,
+                      avg(kl_ts) AS kl_ts, avg(kl_st) AS kl_st, avg(jsd_ref) AS jsd_ref
+               FROM pos JOIN cdiv USING (ctx) GROUP BY split, rank, batch_no""",
+            ("pos", "cdiv"),
+        ),
+        "els": (
+            """SELECT vec_id, i, x - lse AS lp FROM (
+                 SELECT vec_id, i, x, mx + ln(sum(exp(x - mx)) OVER w) AS lse FROM (
+                   SELECT vec_id, i, x::DOUBLE AS x, max(x::DOUBLE) OVER (PARTITION BY vec_id) AS mx
+                   FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, i))
+                 WINDOW w AS (PARTITION BY vec_id))""",
+            (),
+        ),
+        "epair": (
+            """SELECT t.vec_id AS pair_id, t.i, t.lp, s.lp AS lq, ln(0.5 * exp(t.lp) + 0.5 * exp(s.lp)) AS lm,
+                      ln(%(b)s * exp(t.lp) + (1 - %(b)s) * exp(s.lp)) AS lmb
+               FROM els t JOIN els s ON s.vec_id = t.vec_id + 1 AND s.i = t.i""" % {"b": P.jsd_beta},
+            ("els",),
+        ),
+        "epair_div": (
+            f"""SELECT pair_id, sum(exp(lp) * (lp - lq)) AS kl_ts, sum(exp(lq) * (lq - lp)) AS kl_st,
+                       0.5 * sum(exp(lm) * (lm - lp)) + 0.25 * sum(exp(lm) * (lm - lq)) AS jsd_ref,
+                       {P.jsd_beta} * sum(exp(lp) * (lp - lmb)) + (1 - {P.jsd_beta}) * sum(exp(lq) * (lq - lmb)) AS jsd_beta
+                FROM epair GROUP BY pair_id""",
+            ("epair",),
+        ),
+    }
+)
+
+
 def with_(*names: str) -> str:
     """WITH clause holding ``names`` and everything they depend on, in order."""
     order: list[str] = []
@@ -189,4 +261,40 @@ QUERIES: dict[str, str] = {
     "skip_batches": with_("ex_ep") + f"SELECT id, rank, batch_no, epoch, step FROM ex_ep WHERE batch_no >= {P.skip_batches}",
     "limit_eval_batches": with_("ex_b") + f"SELECT id, split, rank, batch_no FROM ex_b WHERE batch_no <= {P.eval_cap}",
     "limit_steps": with_("ex_ep") + f"SELECT id, rank, epoch, step FROM ex_ep WHERE step < {P.max_steps}",
+    "log_softmax": with_("els") + f"SELECT vec_id, (i - 1)::INTEGER AS pos, {r6('lp')} AS value FROM els",
+    "kl_teacher_student": with_("epair_div") + f"SELECT pair_id, {r6('kl_ts')} AS value FROM epair_div",
+    "kl_student_teacher": with_("epair_div") + f"SELECT pair_id, {r6('kl_st')} AS value FROM epair_div",
+    "jsd_reference": with_("epair_div") + f"SELECT pair_id, {r6('jsd_ref')} AS value FROM epair_div",
+    "jsd_beta": with_("epair_div") + f"SELECT pair_id, {r6('jsd_beta')} AS value FROM epair_div",
+    "batch_divergence": with_("epair_div")
+    + f"""SELECT (pair_id % {P.world_size})::INTEGER AS rank, (pair_id // {P.world_size} // {P.batch_size})::BIGINT AS batch_no,
+                 count(*)::BIGINT AS n_positions, {r6('avg(kl_ts)')} AS kl_ts, {r6('avg(kl_st)')} AS kl_st,
+                 {r6('avg(jsd_ref)')} AS jsd_ref
+          FROM epair_div GROUP BY 1, 2""",
+    "table_lm": with_("lm_t", "lm_s")
+    + f"SELECT 'teacher' AS model, ctx, tok, {r6('logp')} AS logp FROM lm_t UNION ALL SELECT 'student', ctx, tok, {r6('logp')} FROM lm_s",
+    "align_positions": with_("pos") + "SELECT * FROM pos",
+    "score_teacher": with_("pos", "lm_t")
+    + f"""SELECT id, split, rank, batch_no, pos, {r6('t.logp')} AS teacher_logp
+          FROM pos p JOIN lm_t t ON t.ctx = p.ctx AND t.tok = p.next_tok""",
+    "score_pair": with_("pos", "cdiv")
+    + f"""SELECT id, split, pos, {r6('t.logp')} AS teacher_logp, {r6('s.logp')} AS student_logp,
+                 {r6('d.kl_ts')} AS kl_ts, {r6('d.kl_st')} AS kl_st, {r6('d.jsd_ref')} AS jsd_ref
+          FROM pos p JOIN lm_t t ON t.ctx = p.ctx AND t.tok = p.next_tok
+          JOIN lm_s s ON s.ctx = p.ctx AND s.tok = p.next_tok JOIN cdiv d ON d.ctx = p.ctx""",
+    "score_pair_mapped": with_("pos", "cdiv")
+    + f"""SELECT id, split, pos, {r6('d.kl_ts')} AS kl_ts, {r6('d.kl_st')} AS kl_st, {r6('d.jsd_ref')} AS jsd_ref
+          FROM pos p JOIN cdiv d ON d.ctx = p.ctx""",
+    "offline_batch_divergence": with_("bdiv")
+    + f"SELECT split, rank, batch_no, n_positions, {r6('kl_ts')} AS kl_ts, {r6('kl_st')} AS kl_st, {r6('jsd_ref')} AS jsd_ref FROM bdiv",
+    "evaluate_mean_of_means": with_("bdiv")
+    + f"""SELECT split, metric, {r6('avg(v)')} AS value, count(*)::BIGINT AS n_batches FROM (
+            SELECT split, 'reverse_kl' AS metric, kl_ts AS v FROM bdiv UNION ALL
+            SELECT split, 'forward_kl', kl_st FROM bdiv UNION ALL
+            SELECT split, 'jsd_p_q', jsd_ref FROM bdiv) GROUP BY split, metric""",
+    "evaluate_weighted": with_("bdiv")
+    + f"""SELECT split, metric, {r6('sum(v * n_positions) / sum(n_positions)')} AS value, count(*)::BIGINT AS n_batches FROM (
+            SELECT split, n_positions, 'reverse_kl' AS metric, kl_ts AS v FROM bdiv UNION ALL
+            SELECT split, n_positions, 'forward_kl', kl_st FROM bdiv UNION ALL
+            SELECT split, n_positions, 'jsd_p_q', jsd_ref FROM bdiv) GROUP BY split, metric""",
 }

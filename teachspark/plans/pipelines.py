@@ -92,3 +92,68 @@ def shard_and_batch(df: DataFrame, pins: Pins = PINS, shuffle_splits: tuple[str,
 
 def batched_examples(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
     return shard_and_batch(examples(spark, sf_dir, pins), pins)
+
+
+# ---- table models, positions, divergences -----------------------------------
+
+from ..functions import divergence as DV  # noqa: E402
+from ..operators import divergence as AD  # noqa: E402
+from ..operators.positions import align_positions  # noqa: E402
+from ..operators.table_lm import bigram_counts, fit_table_lm  # noqa: E402
+
+
+def model_rows(pins: Pins = PINS) -> int:
+    return pins.vocab_size * pins.vocab_size
+
+
+def _corpus_ids(spark: SparkSession, sf_dir: str, texts: DataFrame, pins: Pins) -> DataFrame:
+    vocab = vocabulary(spark, sf_dir, pins)
+    return tokenize(texts, "text", vocab, "input_ids", max_length=None, add_bos=False)
+
+
+def teacher_lm(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """Teacher: English documents plus every conversation turn, smoothing ``teacher_alpha``."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("text")
+    conv = table(spark, sf_dir, "conversations").select("text")
+    ids = _corpus_ids(spark, sf_dir, docs.unionByName(conv), pins)
+    return fit_table_lm(spark, bigram_counts(ids), pins.vocab_size, pins.teacher_alpha, pins.unigram_k)
+
+
+def student_lm(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """Student: conversation turns of even ``conv_id``, smoothing ``student_alpha``."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("conv_id") % 2 == 0).select("text")
+    ids = _corpus_ids(spark, sf_dir, conv, pins)
+    return fit_table_lm(spark, bigram_counts(ids), pins.vocab_size, pins.student_alpha, pins.unigram_k)
+
+
+def context_divergence(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    return AD.context_divergence(teacher_lm(spark, sf_dir, pins), student_lm(spark, sf_dir, pins), pins.jsd_beta)
+
+
+BATCH_KEYS = ["split", "rank", "batch_no"]
+
+
+def offline_positions(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """P10 over the batched offline examples: ``id, split, rank, batch_no, pos, ctx, next_tok``."""
+    return align_positions(batched_examples(spark, sf_dir, pins), PAD_ID, keep=("id", *BATCH_KEYS))
+
+
+def offline_batch_divergence(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """A6 for the offline path with table models, pre-aggregated on the context."""
+    return AD.batch_divergence_by_context(
+        offline_positions(spark, sf_dir, pins), context_divergence(spark, sf_dir, pins), BATCH_KEYS
+    )
+
+
+def embedding_log_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 over ``embeddings`` used as stand-in logits: ``(vec_id, lp array<double>)``."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e.select("vec_id", DV.log_softmax("embedding").alias("lp"))
+
+
+def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row k is the teacher, row k+1 the student: ``(pair_id, lp, lq)`` by an equi-join on the id."""
+    ls = embedding_log_probs(spark, sf_dir)
+    t = ls.select(F.col("vec_id").alias("pair_id"), F.col("lp"))
+    s = ls.select((F.col("vec_id") - 1).alias("pair_id"), F.col("lp").alias("lq"))
+    return t.join(s, "pair_id")

@@ -178,6 +178,114 @@ def q_limit_steps(spark, sf):
     return FL.limit_steps(_epochs(spark, sf), P.max_steps).select("id", "rank", "epoch", "step")
 
 
+# ---- divergences on dense logits (embeddings as stand-in logits) --------------
+
+from ..functions import divergence as DV  # noqa: E402
+from ..operators import divergence as AD  # noqa: E402
+from ..operators import scoring as SC  # noqa: E402
+
+
+def q_log_softmax(spark, sf):
+    ls = PL.embedding_log_probs(spark, sf)
+    return ls.select("vec_id", F.posexplode("lp").alias("pos", "v")).select(
+        "vec_id", F.col("pos").cast("int").alias("pos"), r6("v").alias("value")
+    )
+
+
+def _pair_metric(fn):
+    def q(spark, sf):
+        pr = PL.embedding_pairs(spark, sf)
+        return pr.select("pair_id", r6(fn(F.col("lp"), F.col("lq"))).alias("value"))
+
+    return q
+
+
+q_kl_teacher_student = _pair_metric(DV.kl_teacher_student)
+q_kl_student_teacher = _pair_metric(DV.kl_student_teacher)
+q_jsd_reference = _pair_metric(DV.jsd_reference)
+q_jsd_beta = _pair_metric(lambda a, b: DV.jsd_beta(a, b, P.jsd_beta))
+
+
+def q_batch_divergence(spark, sf):
+    """A6 on dense pairs: rank = pair mod world, batch = (pair div world) div batch."""
+    pr = PL.embedding_pairs(spark, sf)
+    pos = pr.select(
+        (F.col("pair_id") % P.world_size).cast("int").alias("rank"),
+        ((F.col("pair_id") / P.world_size).cast("long") / P.batch_size).cast("long").alias("batch_no"),
+        DV.kl_teacher_student("lp", "lq").alias("kl_ts"),
+        DV.kl_student_teacher("lp", "lq").alias("kl_st"),
+        DV.jsd_reference("lp", "lq").alias("jsd_ref"),
+    )
+    b = AD.batch_divergence(pos, ["rank", "batch_no"])
+    return b.select("rank", "batch_no", "n_positions", *[r6(c).alias(c) for c in AD.DIVERGENCES])
+
+
+# ---- table models, positions, scoring, evaluation -----------------------------
+
+
+def q_table_lm(spark, sf):
+    t = PL.teacher_lm(spark, sf).withColumn("model", F.lit("teacher"))
+    s = PL.student_lm(spark, sf).withColumn("model", F.lit("student"))
+    return t.unionByName(s).select("model", "ctx", "tok", r6("logp").alias("logp"))
+
+
+def q_align_positions(spark, sf):
+    return PL.offline_positions(spark, sf)
+
+
+def q_score_teacher(spark, sf):
+    pos = PL.offline_positions(spark, sf)
+    sc = SC.score_next(pos, PL.teacher_lm(spark, sf), PL.model_rows(), "logp")
+    return sc.select("id", "split", "rank", "batch_no", "pos", r6("logp").alias("teacher_logp"))
+
+
+def q_score_pair(spark, sf):
+    pos = PL.offline_positions(spark, sf)
+    sc = SC.score_next(pos, PL.teacher_lm(spark, sf), PL.model_rows(), "tl")
+    sc = SC.score_next(sc, PL.student_lm(spark, sf), PL.model_rows(), "sl")
+    cd = PL.context_divergence(spark, sf).select("ctx", *AD.DIVERGENCES)
+    sc = sc.join(F.broadcast(cd), "ctx")
+    return sc.select(
+        "id", "split", "pos", r6("tl").alias("teacher_logp"), r6("sl").alias("student_logp"),
+        *[r6(c).alias(c) for c in AD.DIVERGENCES],
+    )
+
+
+def q_score_pair_mapped(spark, sf):
+    from ..session import shared_path
+
+    root = shared_path(spark, "models", f"sf-{abs(hash(sf)) % 10**8}")
+    PL.teacher_lm(spark, sf).write.mode("overwrite").parquet(f"{root}/teacher")
+    PL.student_lm(spark, sf).write.mode("overwrite").parquet(f"{root}/student")
+    V = P.vocab_size
+    tpath, spath = f"{root}/teacher", f"{root}/student"
+    out = SC.score_pair_mapped(
+        PL.batched_examples(spark, sf),
+        lambda: SC.TableScorer(tpath, V),
+        lambda: SC.TableScorer(spath, V),
+        PL.PAD_ID,
+        keep=("id", "split"),
+    )
+    return out.select("id", "split", "pos", *[r6(c).alias(c) for c in AD.DIVERGENCES])
+
+
+def q_offline_batch_divergence(spark, sf):
+    b = PL.offline_batch_divergence(spark, sf)
+    return b.select(*PL.BATCH_KEYS, "n_positions", *[r6(c).alias(c) for c in AD.DIVERGENCES])
+
+
+def _evaluate(weighted):
+    def q(spark, sf):
+        ev = AD.evaluate(PL.offline_batch_divergence(spark, sf), by=["split"], weighted=weighted)
+        return ev.select("split", "metric", r6("value").alias("value"), "n_batches")
+
+    return q
+
+
+q_evaluate_mean_of_means = _evaluate(False)
+q_evaluate_weighted = _evaluate(True)
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
