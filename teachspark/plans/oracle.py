@@ -203,7 +203,67 @@ CTES.update(
 )
 
 
-def with_(*names: str) -> str:
+def _sampler(name: str, stop: bool) -> dict[str, tuple[str, tuple[str, ...]]]:
+    stop_sql = "AND s.ctx <> 2" if stop else ""
+    return {
+        name: (
+            f"""SELECT id, 0 AS step, ids[len(ids)] AS ctx, greatest(0, {P.max_tokens} - n_tokens) AS budget FROM prm_f
+                UNION ALL
+                SELECT s.id, s.step + 1, min(c.tok), s.budget
+                FROM {name} s JOIN cdf c ON c.ctx = s.ctx
+                WHERE s.step < s.budget {stop_sql}
+                  AND c.hi > {uniform(f"'{SEED}:' || s.id || ':' || (s.step + 1)")}
+                GROUP BY s.id, s.step, s.budget""",
+            ("prm_f", "cdf"),
+        ),
+        f"{name}_agg": (
+            f"""SELECT p.id, coalesce(list(s.ctx ORDER BY s.step) FILTER (WHERE s.step > 0), []) AS new_ids
+                FROM prm_f p LEFT JOIN {name} s ON s.id = p.id GROUP BY p.id""",
+            (name,),
+        ),
+    }
+
+
+CTES.update(
+    {
+        "cdf": (
+            f"""SELECT ctx, tok, CASE WHEN tok = {V} THEN 1.0 ELSE round(sum(exp(logp)) OVER (
+                       PARTITION BY ctx ORDER BY tok ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 12) END AS hi
+                FROM lm_s""",
+            ("lm_s",),
+        ),
+        "pidx": ("SELECT id, ids, n_tokens, row_number() OVER (ORDER BY id) - 1 AS idx FROM prm_f", ("prm_f",)),
+        "pb": (
+            f"""SELECT *, (idx % {P.world_size})::INTEGER AS rank, (idx // {P.world_size} // {P.batch_size})::BIGINT AS batch_no,
+                       greatest(0, {P.max_tokens} - n_tokens)::INTEGER AS budget,
+                       greatest(0, {P.max_tokens} - max(n_tokens) OVER (PARTITION BY idx % {P.world_size}, idx // {P.world_size} // {P.batch_size}))::INTEGER AS budget_batch
+                FROM (SELECT *, false AS is_pad FROM pidx
+                      UNION ALL
+                      SELECT p.* REPLACE (p.idx + c.n AS idx), true FROM pidx p, (SELECT count(*) AS n FROM prm_f) c
+                      WHERE p.idx < ceil(c.n / {P.world_size}.0) * {P.world_size} - c.n)""",
+            ("pidx",),
+        ),
+    }
+)
+CTES.update(_sampler("samp", True))
+CTES.update(_sampler("raw", False))
+CTES.update(
+    {
+        "onp": (
+            """SELECT b.id, b.rank, b.batch_no, b.is_pad, b.ids || a.new_ids AS full_ids, len(a.new_ids) AS n_new
+               FROM pb b JOIN samp_agg a USING (id)""",
+            ("pb", "samp_agg"),
+        ),
+        "onp_pos": (
+            """SELECT id, rank, batch_no, full_ids[i] AS ctx
+               FROM (SELECT *, unnest(range(1, len(full_ids))) AS i FROM onp) WHERE full_ids[i + 1] <> 0""",
+            ("onp",),
+        ),
+    }
+)
+
+
+def with_(*names: str, recursive: bool = False) -> str:
     """WITH clause holding ``names`` and everything they depend on, in order."""
     order: list[str] = []
 
@@ -216,7 +276,7 @@ def with_(*names: str) -> str:
 
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n"
 
 
 def doc_tokens() -> str:
@@ -297,4 +357,24 @@ QUERIES: dict[str, str] = {
             SELECT split, n_positions, 'reverse_kl' AS metric, kl_ts AS v FROM bdiv UNION ALL
             SELECT split, n_positions, 'forward_kl', kl_st FROM bdiv UNION ALL
             SELECT split, n_positions, 'jsd_p_q', jsd_ref FROM bdiv) GROUP BY split, metric""",
+    "generation_budget": with_("pb") + "SELECT id, rank, batch_no, is_pad, budget, budget_batch FROM pb",
+    "sample_continuations": with_("samp_agg", recursive=True)
+    + f"SELECT id, len(new_ids)::BIGINT AS n_new, {csv('new_ids')} AS new_ids FROM samp_agg",
+    "truncate_after_eos": with_("raw_agg", recursive=True)
+    + f"""SELECT id, len(t)::BIGINT AS n_new, {csv('t')} AS new_ids FROM (
+            SELECT id, CASE WHEN list_position(new_ids, 2) > 0 THEN new_ids[1:list_position(new_ids, 2)] ELSE new_ids END AS t
+            FROM raw_agg)""",
+    "onpolicy_mask": with_("onp", recursive=True)
+    + """SELECT id, rank, batch_no, is_pad, len(full_ids)::BIGINT AS n_total,
+                array_to_string(list_transform(full_ids, lambda x: CASE WHEN x <> 0 THEN '1' ELSE '0' END), '') AS mask
+         FROM onp""",
+    "onpolicy_divergence": with_("onp_pos", "cdiv", recursive=True)
+    + f"""SELECT rank, batch_no, count(*)::BIGINT AS n_positions, {r6('avg(kl_ts)')} AS kl_ts, {r6('avg(kl_st)')} AS kl_st,
+                 {r6('avg(jsd_ref)')} AS jsd_ref
+          FROM onp_pos JOIN cdiv USING (ctx) GROUP BY rank, batch_no""",
+    "generation_stats": with_("onp", recursive=True)
+    + f"""SELECT rank, batch_no, count(*)::BIGINT AS n_rows, sum(n_new)::BIGINT AS new_tokens,
+                 sum(CASE WHEN list_contains(full_ids[len(full_ids) - n_new + 1:], 2) THEN 1 ELSE 0 END)::BIGINT AS n_finished,
+                 {r6('sum(CASE WHEN list_contains(full_ids[len(full_ids) - n_new + 1:], 2) THEN 1 ELSE 0 END) / count(*)')} AS completed_share
+          FROM onp GROUP BY rank, batch_no""",
 }

@@ -157,3 +157,66 @@ def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ls.select(F.col("vec_id").alias("pair_id"), F.col("lp"))
     s = ls.select((F.col("vec_id") - 1).alias("pair_id"), F.col("lp").alias("lq"))
     return t.join(s, "pair_id")
+
+
+# ---- on-policy (online) path ----------------------------------------------------
+
+from ..functions.arrays import attention_mask, generation_budget, onpolicy_mask  # noqa: E402
+from ..operators import onpolicy as OP  # noqa: E402
+
+
+def online_batches(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """F1 prompts in id order (an unshuffled loader), sharded and batched, with budgets.
+
+    ``budget`` is the row-scope budget; ``budget_batch`` uses the longest prompt
+    of the batch, as padded batches do.
+    """
+    p = filtered_prompts(spark, sf_dir, pins).select("id", "input_ids", "n_tokens")
+    n = p.count()
+    b = B.assign_batches(B.shard(B.ordered_index(p, "id"), pins.world_size, n=n), pins.batch_size)
+    from pyspark.sql import Window
+
+    width = F.max("n_tokens").over(Window.partitionBy("rank", "batch_no"))
+    return b.withColumn("budget", generation_budget("n_tokens", pins.max_tokens)).withColumn(
+        "budget_batch", generation_budget(width, pins.max_tokens)
+    )
+
+
+def student_cdf_path(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> str:
+    """Write the student's CDF table to the shared folder; workers load it once each."""
+    from ..session import shared_path
+
+    path = shared_path(spark, "models", f"cdf-{abs(hash((sf_dir, pins))) % 10**10}")
+    OP.student_cdf(student_lm(spark, sf_dir, pins), pins.vocab_size).write.mode("overwrite").parquet(path)
+    return path
+
+
+def sampled(spark: SparkSession, sf_dir: str, pins: Pins = PINS, stop_at_eos: bool = True, batched: bool = True) -> DataFrame:
+    """M3 over the online prompts: ``id, [rank, batch_no, is_pad,] input_ids, new_ids, n_new, finished``."""
+    if batched:
+        src = online_batches(spark, sf_dir, pins)
+        keep = ("rank", "batch_no", "is_pad", "input_ids")
+    else:
+        src = filtered_prompts(spark, sf_dir, pins).withColumn("budget", generation_budget("n_tokens", pins.max_tokens))
+        keep = ("input_ids",)
+    path = student_cdf_path(spark, sf_dir, pins)
+    V = pins.vocab_size
+    return OP.sample_continuations(
+        src, lambda: OP.CdfSampler(path, V), pins.seed, keep=keep, stop_at_eos=stop_at_eos
+    )
+
+
+def onpolicy_sequences(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """Prompt + sampled ids with the M6 mask (ragged prompts: the prompt mask is all true)."""
+    s = sampled(spark, sf_dir, pins)
+    full = F.concat("input_ids", "new_ids")
+    return s.withColumn("full_ids", full).withColumn(
+        "mask", onpolicy_mask(attention_mask("input_ids", PAD_ID), "n_new", "full_ids")
+    )
+
+
+def onpolicy_batch_divergence(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """M7 + A6: teacher and student judge the sampled text, pre-aggregated on the context."""
+    seqs = onpolicy_sequences(spark, sf_dir, pins)
+    pos = align_positions(seqs, PAD_ID, ids_col="full_ids", mask_col="mask", keep=("id", "rank", "batch_no"))
+    return AD.batch_divergence_by_context(pos, context_divergence(spark, sf_dir, pins), ["rank", "batch_no"])

@@ -286,6 +286,49 @@ q_evaluate_mean_of_means = _evaluate(False)
 q_evaluate_weighted = _evaluate(True)
 
 
+# ---- on-policy ---------------------------------------------------------------------
+
+from ..functions.arrays import truncate_after_eos  # noqa: E402
+
+
+def q_generation_budget(spark, sf):
+    b = PL.online_batches(spark, sf)
+    return b.select("id", "rank", "batch_no", "is_pad", F.col("budget").cast("int").alias("budget"),
+                    F.col("budget_batch").cast("int").alias("budget_batch"))
+
+
+def q_sample_continuations(spark, sf):
+    s = PL.sampled(spark, sf, batched=False)
+    return s.select("id", F.col("n_new").cast("long").alias("n_new"), csv("new_ids").alias("new_ids"))
+
+
+def q_truncate_after_eos(spark, sf):
+    raw = PL.sampled(spark, sf, stop_at_eos=False, batched=False)
+    t = raw.withColumn("new_ids", truncate_after_eos("new_ids", PL.PAD_ID))
+    return t.select("id", F.size("new_ids").cast("long").alias("n_new"), csv("new_ids").alias("new_ids"))
+
+
+def q_onpolicy_mask(spark, sf):
+    s = PL.onpolicy_sequences(spark, sf)
+    return s.select("id", "rank", "batch_no", "is_pad", F.size("full_ids").cast("long").alias("n_total"),
+                    bits("mask").alias("mask"))
+
+
+def q_onpolicy_divergence(spark, sf):
+    b = PL.onpolicy_batch_divergence(spark, sf)
+    return b.select("rank", "batch_no", "n_positions", *[r6(c).alias(c) for c in AD.DIVERGENCES])
+
+
+def q_generation_stats(spark, sf):
+    s = PL.sampled(spark, sf)
+    g = s.groupBy("rank", "batch_no").agg(
+        F.count(F.lit(1)).cast("long").alias("n_rows"),
+        F.sum("n_new").cast("long").alias("new_tokens"),
+        F.sum(F.col("finished").cast("int")).cast("long").alias("n_finished"),
+    )
+    return g.withColumn("completed_share", r6(F.col("n_finished") / F.col("n_rows")))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
