@@ -263,6 +263,69 @@ CTES.update(
 )
 
 
+def r9(expr: str) -> str:
+    return f"(round(({expr})::DOUBLE, 9) + 0.0)"
+
+
+CTES.update(
+    {
+        "man0": (
+            """SELECT DISTINCT user_id AS run_id, CASE WHEN event_type = 'signup' THEN NULL ELSE event_id // 10 END AS step,
+                      event_type = 'signup' AS is_final FROM events""",
+            (),
+        ),
+        "man": (
+            "SELECT *, 'run-' || run_id || '/step-' || coalesce(step::VARCHAR, 'final') AS path FROM man0",
+            ("man0",),
+        ),
+        "rmean": (
+            """SELECT step, metric, avg(v) AS value, count(*)::BIGINT AS n_ranks FROM (
+                 SELECT event_id // 10 AS step, user_id % 2 AS rank, event_type AS metric, avg(value) AS v
+                 FROM events GROUP BY 1, 2, 3) GROUP BY step, metric""",
+            (),
+        ),
+        "tr0": ("SELECT rank, ctx FROM pos WHERE split = 'train' AND batch_no = 0", ("pos",)),
+        "wc": (
+            f"""SELECT ctx, sum(cnt / ({P.world_size}.0 * n)) AS w
+                FROM (SELECT rank, ctx, count(*) AS cnt FROM tr0 GROUP BY rank, ctx) a
+                JOIN (SELECT rank, count(*) AS n FROM tr0 GROUP BY rank) b USING (rank) GROUP BY ctx""",
+            ("tr0",),
+        ),
+        "sls": (
+            """SELECT ctx, tok, logp AS logit, (logp - mx) - ln(sum(exp(logp - mx)) OVER (PARTITION BY ctx)) AS ls
+               FROM (SELECT *, max(logp) OVER (PARTITION BY ctx) AS mx FROM lm_s)""",
+            ("lm_s",),
+        ),
+        "gj": (
+            """SELECT s.ctx, s.tok, s.logit, s.ls, t.logp AS lp, coalesce(w.w, 0) AS w,
+                      ln(0.5 * exp(t.logp) + 0.5 * exp(s.ls)) AS lm
+               FROM sls s JOIN lm_t t ON t.ctx = s.ctx AND t.tok = s.tok LEFT JOIN wc w ON w.ctx = s.ctx""",
+            ("sls", "lm_t", "wc"),
+        ),
+        "g_rkl": (
+            "SELECT ctx, tok, logit, w * (exp(ls) - exp(lp)) AS g, w * exp(lp) * (lp - ls) AS lt FROM gj",
+            ("gj",),
+        ),
+        "g_jsd": (
+            """SELECT ctx, tok, w * exp(ls) * (d - sum(exp(ls) * d) OVER (PARTITION BY ctx)) AS g FROM (
+                 SELECT *, 0.25 * (lm - lp + 1) + 0.125 * (lm - ls + 1) - 0.25 * exp(lm) / exp(ls) AS d FROM gj)""",
+            ("gj",),
+        ),
+        "clip": (
+            "SELECT sqrt(sum(g * g)) AS norm, least(1.0, 1.0 / (sqrt(sum(g * g)) + 1e-6)) AS f, sum(lt) AS loss FROM g_rkl",
+            ("g_rkl",),
+        ),
+        "adam1": (
+            f"""SELECT ctx, tok, logit * (1 - {P.learning_rate} * {P.weight_decay})
+                         - ({P.learning_rate} / (1 - 0.9)) * m / (sqrt(v) / sqrt(1 - 0.999) + 1e-8) AS logit, m, v
+                FROM (SELECT ctx, tok, logit, (1 - 0.9) * g * clip.f AS m, (1 - 0.999) * (g * clip.f) * (g * clip.f) AS v
+                      FROM g_rkl, clip)""",
+            ("g_rkl", "clip"),
+        ),
+    }
+)
+
+
 def with_(*names: str, recursive: bool = False) -> str:
     """WITH clause holding ``names`` and everything they depend on, in order."""
     order: list[str] = []
@@ -377,4 +440,20 @@ QUERIES: dict[str, str] = {
                  sum(CASE WHEN list_contains(full_ids[len(full_ids) - n_new + 1:], 2) THEN 1 ELSE 0 END)::BIGINT AS n_finished,
                  {r6('sum(CASE WHEN list_contains(full_ids[len(full_ids) - n_new + 1:], 2) THEN 1 ELSE 0 END) / count(*)')} AS completed_share
           FROM onp GROUP BY rank, batch_no""",
+    "rank_mean": with_("rmean") + f"SELECT step, metric, {r6('value')} AS value, n_ranks FROM rmean",
+    "prefix_metric": with_("rmean") + f"SELECT step, 'train/' || metric AS name, {r6('value')} AS value FROM rmean",
+    "latest_snapshot": with_("man")
+    + """SELECT run_id, step, is_final, path FROM (
+           SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY is_final DESC, step DESC NULLS LAST) AS rn FROM man)
+         WHERE rn = 1""",
+    "expired_snapshots": with_("man")
+    + """SELECT run_id, step, path FROM (
+           SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn FROM man WHERE NOT is_final)
+         WHERE rn > 3""",
+    "gradient_rkl": with_("g_rkl") + f"SELECT ctx, tok, {r9('g')} AS grad FROM g_rkl",
+    "gradient_jsd": with_("g_jsd") + f"SELECT ctx, tok, {r9('g')} AS grad FROM g_jsd",
+    "clip_gradient": with_("clip") + f"SELECT {r9('norm')} AS grad_norm, {r9('f')} AS clip_factor, {r9('loss')} AS loss FROM clip",
+    "adamw_step": with_("adam1") + f"SELECT ctx, tok, {r9('logit')} AS logit, {r9('m')} AS m, round(v, 15) AS v FROM adam1",
+    "lr_schedule": with_("ex_ep")
+    + f"""SELECT DISTINCT step, {r9(f"CASE WHEN step < {P.warmup_steps} THEN {P.learning_rate} * step / {float(max(1, P.warmup_steps))} ELSE {P.learning_rate} END")} AS lr FROM ex_ep""",
 }

@@ -329,6 +329,106 @@ def q_generation_stats(spark, sf):
     return g.withColumn("completed_share", r6(F.col("n_finished") / F.col("n_rows")))
 
 
+# ---- metrics and snapshots ---------------------------------------------------------
+
+from ..operators import metrics as MT  # noqa: E402
+from ..operators import snapshots as SN  # noqa: E402
+
+
+def _events_metrics(spark, sf):
+    return MT.metrics_from_events(table(spark, sf, "events"))
+
+
+def q_rank_mean(spark, sf):
+    m = MT.rank_mean(_events_metrics(spark, sf))
+    return m.select("step", "metric", r6("value").alias("value"), "n_ranks")
+
+
+def q_prefix_metric(spark, sf):
+    m = MT.rank_mean(_events_metrics(spark, sf))
+    return m.select("step", MT.prefix_metric("train", "metric").alias("name"), r6("value").alias("value"))
+
+
+def q_latest_snapshot(spark, sf):
+    return SN.latest_snapshot(SN.manifest_from_events(table(spark, sf, "events")))
+
+
+def q_expired_snapshots(spark, sf):
+    return SN.expired_snapshots(SN.manifest_from_events(table(spark, sf, "events"))).select("run_id", "step", "path")
+
+
+# ---- training a table student ---------------------------------------------------------
+
+from ..operators import train as TR  # noqa: E402
+
+
+def r9(col):
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c.cast("double"), 9) + F.lit(0.0)
+
+
+def _train_positions(spark, sf):
+    """Judged positions of the train split with their epoch step."""
+    ex = PL.examples(spark, sf).filter(F.col("split") == "train")
+    n = ex.count()
+    b = B.assign_batches(B.shard(B.shuffle_index(ex, "id", P.seed), P.world_size, n=n), P.batch_size)
+    per_epoch = B.batches_per_epoch(n, P.world_size, P.batch_size)
+    pos = PL.align_positions(b, PL.PAD_ID, keep=("rank", "batch_no"))
+    return B.epochs(pos, P.epochs, per_epoch)
+
+
+def _step0_gradient(spark, sf, loss):
+    pos = _train_positions(spark, sf).filter(F.col("step") == 0)
+    W = TR.init_student(PL.student_lm(spark, sf))
+    g = TR.gradient(W, PL.teacher_lm(spark, sf), TR.context_weights(pos, P.world_size), loss)
+    return W, g
+
+
+def _gradient_query(loss):
+    def q(spark, sf):
+        _, g = _step0_gradient(spark, sf, loss)
+        return g.select("ctx", "tok", r9("g").alias("grad"))
+
+    return q
+
+
+q_gradient_rkl = _gradient_query("rkl")
+q_gradient_jsd = _gradient_query("jsd")
+
+
+def q_clip_gradient(spark, sf):
+    _, g = _step0_gradient(spark, sf, "rkl")
+    n = F.sqrt(F.sum(F.col("g") * F.col("g")))
+    out = g.agg(n.alias("grad_norm"), F.sum("loss_term").alias("loss"))
+    factor = F.least(F.lit(1.0), F.lit(1.0) / (F.col("grad_norm") + F.lit(1e-6)))
+    return out.select(r9("grad_norm").alias("grad_norm"), r9(factor).alias("clip_factor"), r9("loss").alias("loss"))
+
+
+def q_adamw_step(spark, sf):
+    W, g = _step0_gradient(spark, sf, "rkl")
+    W1 = TR.adamw(W, g, P.learning_rate, P.weight_decay, 1, TR.clip_factor(TR.grad_norm(g)))
+    return W1.select("ctx", "tok", r9("logit").alias("logit"), r9("m").alias("m"), F.round("v", 15).alias("v"))
+
+
+def q_lr_schedule(spark, sf):
+    steps = _train_positions(spark, sf).select("step").distinct()
+    warm = float(max(1, P.warmup_steps))
+    lr = F.when(F.col("step") < P.warmup_steps, F.lit(P.learning_rate) * F.col("step") / warm).otherwise(
+        F.lit(P.learning_rate)
+    )
+    return steps.select(F.col("step").cast("long").alias("step"), r9(lr).alias("lr"))
+
+
+def q_distill_loss_curve(spark, sf):
+    cfg = TR.DistillConfig(
+        steps=P.train_steps, learning_rate=P.learning_rate, weight_decay=P.weight_decay,
+        warmup_steps=P.warmup_steps, schedule="constant_with_warmup", loss="rkl", world_size=P.world_size,
+    )
+    W0 = TR.init_student(PL.student_lm(spark, sf))
+    _, curve = TR.distill(spark, W0, PL.teacher_lm(spark, sf), _train_positions(spark, sf), cfg)
+    return curve
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
