@@ -456,4 +456,9 @@ QUERIES: dict[str, str] = {
     "adamw_step": with_("adam1") + f"SELECT ctx, tok, {r9('logit')} AS logit, {r9('m')} AS m, round(v, 15) AS v FROM adam1",
     "lr_schedule": with_("ex_ep")
     + f"""SELECT DISTINCT step, {r9(f"CASE WHEN step < {P.warmup_steps} THEN {P.learning_rate} * step / {float(max(1, P.warmup_steps))} ELSE {P.learning_rate} END")} AS lr FROM ex_ep""",
+    "prepared_roundtrip": with_("ex")
+    + "SELECT split, count(*)::BIGINT AS n_rows, sum(n_tokens)::BIGINT AS n_tokens, sum(id)::BIGINT AS id_sum FROM ex GROUP BY split",
+    "stream_prepare": with_("prm_tok")
+    + f"""SELECT id, CASE WHEN substr(md5('{SEED}:' || id), 1, 8) < '{THRESH}' THEN 'test' ELSE 'train' END AS split, n_tokens
+          FROM prm_tok WHERE n_tokens < {P.prompt_limit}""",
 }

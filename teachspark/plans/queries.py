@@ -429,6 +429,44 @@ def q_distill_loss_curve(spark, sf):
     return curve
 
 
+# ---- stores and streaming ---------------------------------------------------------------
+
+
+def _run_dir(spark, sf, name):
+    from ..session import shared_path
+
+    return shared_path(spark, name, f"{abs(hash((sf, P))) % 10**10}")
+
+
+def q_prepared_roundtrip(spark, sf):
+    """S2 + S3: build the examples once per parameter fingerprint, read them back by split."""
+    from ..sources.store import prepared_or_build, read_prepared
+
+    path = _run_dir(spark, sf, "prepared")
+    prepared_or_build(spark, path, lambda: PL.examples(spark, sf), {"sf": sf, "pins": repr(P)})
+    parts = [read_prepared(spark, path, s) for s in ("train", "test")]
+    df = parts[0].unionByName(parts[1])
+    return df.groupBy("split").agg(
+        F.count(F.lit(1)).cast("long").alias("n_rows"),
+        F.sum("n_tokens").cast("long").alias("n_tokens"),
+        F.sum("id").cast("long").alias("id_sum"),
+    )
+
+
+def q_stream_prepare(spark, sf):
+    """P1-P5, F1, B1 as a Structured Streaming query (availableNow) over instruction rows."""
+    import uuid
+
+    from ..streaming.prepare import prepare_prompts, read_instruction_stream, run_available_now
+
+    root = _run_dir(spark, sf, "stream") + f"/{uuid.uuid4().hex}"
+    PL.instructions(spark, sf).write.mode("overwrite").parquet(f"{root}/source")
+    stream = prepare_prompts(read_instruction_stream(spark, f"{root}/source"), PL.vocabulary(spark, sf), P)
+    run_available_now(stream.select("id", "split", "n_tokens"), f"{root}/sink", f"{root}/checkpoint")
+    out = spark.read.parquet(f"{root}/sink")
+    return out.select("id", "split", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
