@@ -19,6 +19,7 @@ one model row of V entries, whatever the data size.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -127,6 +128,7 @@ class DistillConfig:
 def distill(
     spark: SparkSession, W0: DataFrame, teacher: DataFrame, positions: DataFrame, cfg: DistillConfig,
     snapshot_root: str | None = None,
+    progress: Callable[[int, float, float, float], None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The step loop. ``positions`` carries ``step, rank, ctx`` (and ``batch_no`` for skips).
 
@@ -154,5 +156,7 @@ def distill(
         if snapshot_root:
             write_snapshot(W, snapshot_root, step + 1)
         curve.append((step, loss, norm, lr))
+        if progress:
+            progress(step, loss, norm, lr)
     schema = "step int, loss double, grad_norm double, lr double"
     return W, spark.createDataFrame(curve, schema)
