@@ -102,18 +102,28 @@ def shuffle_index(
     return out.drop("__h")
 
 
-def ordered_index(df: DataFrame, id_col: str = "id", out_col: str = "idx", n_buckets: int = 4096) -> DataFrame:
+def ordered_index(
+    df: DataFrame, id_col: str = "id", out_col: str = "idx", n: int | None = None, rows_per_bucket: int = 200_000,
+    n_buckets: int | None = None,
+) -> DataFrame:
     """B2 with ``shuffle=False``: dense index in id order.
 
     Range buckets come from approximate quantiles of the id (a distributed
-    sketch; only the split points reach the driver), so buckets stay balanced
-    even when ids cluster.
+    sketch; only the split points reach the driver), so buckets stay
+    balanced even when ids cluster. The bucket count follows the row count
+    (about ``rows_per_bucket`` rows each); a table that fits one bucket
+    skips the quantile pass.
     """
+    if n_buckets is None:
+        n = df.count() if n is None else n
+        n_buckets = math.ceil(n / rows_per_bucket) if n else 1
+    n_buckets = max(1, min(n_buckets, MAX_BUCKETS))
+    if n_buckets == 1:
+        return _dense_index(df, F.lit(0), [F.col(id_col)], out_col)
     from pyspark.ml.feature import Bucketizer
 
-    n_buckets = max(1, min(n_buckets, MAX_BUCKETS))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(id_col, probs, 1.0 / (4 * n_buckets)) if probs else []
+    qs = df.approxQuantile(id_col, probs, 1.0 / (4 * n_buckets))
     splits = [-math.inf] + sorted(set(float(q) for q in qs)) + [math.inf]
     work = df.withColumn("__idd", F.col(id_col).cast("double"))
     work = Bucketizer(splits=splits, inputCol="__idd", outputCol="__rb").transform(work)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,12 +27,14 @@ from ..config import BOS_ID, EOS_ID, FIRST_WORD_ID, TOKEN_PATTERN, TOKENIZE_MAX_
 
 # A literal map bigger than this belongs in a plug-in tokenizer instead.
 MAX_LITERAL_VOCAB = 1 << 17
+# Average words per hash bucket of the literal lookup table.
+WORDS_PER_BUCKET = 4
 
 
 def words(text: Column | str, pattern: str = TOKEN_PATTERN) -> Column:
-    """Regex word split; the alternation is wrapped in one group (index 1)."""
+    """Regex word split: every whole match (group 0), in order."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(t, F.lit(f"({pattern})"), 1)
+    return F.regexp_extract_all(t, F.lit(pattern), 0)
 
 
 @dataclass(frozen=True)
@@ -46,15 +49,58 @@ class Vocabulary:
         """Largest id; the model vocabulary is ids 1..model_size."""
         return len(self.words) + FIRST_WORD_ID - 1
 
-    def lookup(self) -> Column:
-        keys = F.array(*[F.lit(w) for w in self.words]) if self.words else F.array().cast("array<string>")
-        vals = F.array(*[F.lit(FIRST_WORD_ID + i) for i in range(len(self.words))]) if self.words else F.array().cast("array<int>")
-        return F.map_from_arrays(keys, vals)
+    @property
+    def n_buckets(self) -> int:
+        return max(1, len(self.words) // WORDS_PER_BUCKET)
+
+    @cached_property
+    def _bucket_of(self) -> tuple[int, ...]:
+        """Bucket of each word under Spark's own ``pmod(hash(word), B)`` (a job over the k words)."""
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        if spark is None or not self.words:
+            raise RuntimeError("an active SparkSession is needed to place vocabulary words in buckets")
+        df = spark.createDataFrame([(i, w) for i, w in enumerate(self.words)], "i int, w string")
+        rows = df.select("i", F.pmod(F.hash("w"), F.lit(self.n_buckets)).alias("b")).collect()
+        out = [0] * len(self.words)
+        for r in rows:
+            out[r["i"]] = r["b"]
+        return tuple(out)
+
+    def lookup(self) -> tuple[Column, Column] | None:
+        """``(bucket expression factory input, literal array of per-bucket maps)``.
+
+        A Spark map lookup scans its keys linearly, so one big map costs
+        O(vocabulary) per token. The words are spread over ``B`` small maps
+        by Spark's ``hash``; a token reads ``maps[pmod(hash(token), B)]``,
+        a constant-time array index into a folded literal, then a scan of
+        a few keys.
+        """
+        if not self.words:
+            return None
+        B = self.n_buckets
+        members: list[list[int]] = [[] for _ in range(B)]
+        for i, b in enumerate(self._bucket_of):
+            members[b].append(i)
+        maps = []
+        for idx in members:
+            keys = F.array(*[F.lit(self.words[i]) for i in idx]) if idx else F.array().cast("array<string>")
+            vals = F.array(*[F.lit(FIRST_WORD_ID + i) for i in idx]) if idx else F.array().cast("array<int>")
+            maps.append(F.map_from_arrays(keys, vals))
+        return F.lit(B), F.array(*maps)
 
     def ids(self, text: Column | str, add_bos: bool = False) -> Column:
         """Untruncated id array for a text column (native expression)."""
-        m = self.lookup()
-        out = F.transform(words(text, self.pattern), lambda w: F.coalesce(F.element_at(m, w), F.lit(UNK_ID)))
+        lk = self.lookup()
+        if lk is None:
+            out = F.transform(words(text, self.pattern), lambda w: F.lit(UNK_ID))
+        else:
+            nb, maps = lk
+            out = F.transform(
+                words(text, self.pattern),
+                lambda w: F.coalesce(F.element_at(F.get(maps, F.pmod(F.hash(w), nb)), w), F.lit(UNK_ID)),
+            )
         if add_bos:
             out = F.concat(F.array(F.lit(BOS_ID)), out)
         return out

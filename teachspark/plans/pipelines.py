@@ -23,6 +23,26 @@ from ..sources.tables import table
 PAD_ID = EOS_ID  # the reference sets pad = eos
 
 
+def materialized_path(spark: SparkSession, name: str, sf_dir: str, pins: Pins, build) -> str:
+    """Path of a derived table written once per (tables, parameters) fingerprint in the shared folder.
+
+    Later queries read it back instead of recomputing; the write also cuts
+    lineage, so a lost executor re-reads a file instead of replaying the
+    whole derivation.
+    """
+    from ..session import shared_path
+    from ..sources.store import fingerprint, prepared_or_build
+
+    params = {"name": name, "sf": sf_dir, "pins": repr(pins)}
+    path = shared_path(spark, "derived", f"{name}-{fingerprint(params)[:16]}")
+    prepared_or_build(spark, path, build, params, split_col=None)
+    return path
+
+
+def materialized(spark: SparkSession, name: str, sf_dir: str, pins: Pins, build) -> DataFrame:
+    return spark.read.parquet(materialized_path(spark, name, sf_dir, pins, build))
+
+
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 adapter: instruction rows from ``conversations``."""
     return instructions_from_conversations(table(spark, sf_dir, "conversations"))
@@ -81,7 +101,7 @@ def shard_and_batch(df: DataFrame, pins: Pins = PINS, shuffle_splits: tuple[str,
         if split in shuffle_splits:
             part = B.shuffle_index(part, "id", pins.seed)
         else:
-            part = B.ordered_index(part, "id")
+            part = B.ordered_index(part, "id", n=n)
         part = B.shard(part, pins.world_size, n=n)
         parts.append(B.assign_batches(part, pins.batch_size))
     out = parts[0]
@@ -91,7 +111,8 @@ def shard_and_batch(df: DataFrame, pins: Pins = PINS, shuffle_splits: tuple[str,
 
 
 def batched_examples(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
-    return shard_and_batch(examples(spark, sf_dir, pins), pins)
+    """B2-B4 over the offline examples, materialised once per fingerprint."""
+    return materialized(spark, "batched_examples", sf_dir, pins, lambda: shard_and_batch(examples(spark, sf_dir, pins), pins))
 
 
 # ---- table models, positions, divergences -----------------------------------
@@ -113,14 +134,22 @@ def _corpus_ids(spark: SparkSession, sf_dir: str, texts: DataFrame, pins: Pins)
 
 def teacher_lm(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
     """Teacher: English documents plus every conversation turn, smoothing ``teacher_alpha``."""
+    return materialized(spark, "teacher_lm", sf_dir, pins, lambda: _teacher_lm(spark, sf_dir, pins))
+
+
+def student_lm(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """Student: conversation turns of even ``conv_id``, smoothing ``student_alpha``."""
+    return materialized(spark, "student_lm", sf_dir, pins, lambda: _student_lm(spark, sf_dir, pins))
+
+
+def _teacher_lm(spark: SparkSession, sf_dir: str, pins: Pins) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("text")
     conv = table(spark, sf_dir, "conversations").select("text")
     ids = _corpus_ids(spark, sf_dir, docs.unionByName(conv), pins)
     return fit_table_lm(spark, bigram_counts(ids), pins.vocab_size, pins.teacher_alpha, pins.unigram_k)
 
 
-def student_lm(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
-    """Student: conversation turns of even ``conv_id``, smoothing ``student_alpha``."""
+def _student_lm(spark: SparkSession, sf_dir: str, pins: Pins) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").filter(F.col("conv_id") % 2 == 0).select("text")
     ids = _corpus_ids(spark, sf_dir, conv, pins)
     return fit_table_lm(spark, bigram_counts(ids), pins.vocab_size, pins.student_alpha, pins.unigram_k)
@@ -169,11 +198,15 @@ def online_batches(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataF
     """F1 prompts in id order (an unshuffled loader), sharded and batched, with budgets.
 
     ``budget`` is the row-scope budget; ``budget_batch`` uses the longest prompt
-    of the batch, as padded batches do.
+    of the batch, as padded batches do. Materialised once per fingerprint.
     """
+    return materialized(spark, "online_batches", sf_dir, pins, lambda: _online_batches(spark, sf_dir, pins))
+
+
+def _online_batches(spark: SparkSession, sf_dir: str, pins: Pins) -> DataFrame:
     p = filtered_prompts(spark, sf_dir, pins).select("id", "input_ids", "n_tokens")
     n = p.count()
-    b = B.assign_batches(B.shard(B.ordered_index(p, "id"), pins.world_size, n=n), pins.batch_size)
+    b = B.assign_batches(B.shard(B.ordered_index(p, "id", n=n), pins.world_size, n=n), pins.batch_size)
     from pyspark.sql import Window
 
     width = F.max("n_tokens").over(Window.partitionBy("rank", "batch_no"))
@@ -183,12 +216,27 @@ def online_batches(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataF
 
 
 def student_cdf_path(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> str:
-    """Write the student's CDF table to the shared folder; workers load it once each."""
-    from ..session import shared_path
+    """The student's CDF table in the shared folder; sampler workers load it once each."""
+    return materialized_path(
+        spark, "student_cdf", sf_dir, pins, lambda: OP.student_cdf(student_lm(spark, sf_dir, pins), pins.vocab_size)
+    )
 
-    path = shared_path(spark, "models", f"cdf-{abs(hash((sf_dir, pins))) % 10**10}")
-    OP.student_cdf(student_lm(spark, sf_dir, pins), pins.vocab_size).write.mode("overwrite").parquet(path)
-    return path
+
+def teacher_lm_path(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> str:
+    return materialized_path(spark, "teacher_lm", sf_dir, pins, lambda: _teacher_lm(spark, sf_dir, pins))
+
+
+def student_lm_path(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> str:
+    return materialized_path(spark, "student_lm", sf_dir, pins, lambda: _student_lm(spark, sf_dir, pins))
+
+
+def train_epochs(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
+    """B6 over the shuffled, sharded, batched train split (rows, not positions)."""
+    b = batched_examples(spark, sf_dir, pins).filter(F.col("split") == "train")
+    n = b.filter(~F.col("is_pad")).count()
+    return B.epochs(b, pins.epochs, B.batches_per_epoch(n, pins.world_size, pins.batch_size)).withColumn(
+        "epoch", F.col("epoch").cast("int")
+    )
 
 
 def sampled(spark: SparkSession, sf_dir: str, pins: Pins = PINS, stop_at_eos: bool = True, batched: bool = True) -> DataFrame:

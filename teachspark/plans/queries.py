@@ -153,12 +153,7 @@ def q_collate_batches(spark, sf):
 
 
 def _epochs(spark, sf):
-    ex = PL.examples(spark, sf)
-    train = ex.filter(F.col("split") == "train")
-    n = train.count()
-    b = B.assign_batches(B.shard(B.shuffle_index(train, "id", P.seed), P.world_size, n=n), P.batch_size)
-    per_epoch = B.batches_per_epoch(n, P.world_size, P.batch_size)
-    return B.epochs(b, P.epochs, per_epoch).withColumn("epoch", F.col("epoch").cast("int"))
+    return PL.train_epochs(spark, sf)
 
 
 def q_epochs(spark, sf):
@@ -252,13 +247,8 @@ def q_score_pair(spark, sf):
 
 
 def q_score_pair_mapped(spark, sf):
-    from ..session import shared_path
-
-    root = shared_path(spark, "models", f"sf-{abs(hash(sf)) % 10**8}")
-    PL.teacher_lm(spark, sf).write.mode("overwrite").parquet(f"{root}/teacher")
-    PL.student_lm(spark, sf).write.mode("overwrite").parquet(f"{root}/student")
     V = P.vocab_size
-    tpath, spath = f"{root}/teacher", f"{root}/student"
+    tpath, spath = PL.teacher_lm_path(spark, sf), PL.student_lm_path(spark, sf)
     out = SC.score_pair_mapped(
         PL.batched_examples(spark, sf),
         lambda: SC.TableScorer(tpath, V),
@@ -369,12 +359,7 @@ def r9(col):
 
 def _train_positions(spark, sf):
     """Judged positions of the train split with their epoch step."""
-    ex = PL.examples(spark, sf).filter(F.col("split") == "train")
-    n = ex.count()
-    b = B.assign_batches(B.shard(B.shuffle_index(ex, "id", P.seed), P.world_size, n=n), P.batch_size)
-    per_epoch = B.batches_per_epoch(n, P.world_size, P.batch_size)
-    pos = PL.align_positions(b, PL.PAD_ID, keep=("rank", "batch_no"))
-    return B.epochs(pos, P.epochs, per_epoch)
+    return PL.align_positions(PL.train_epochs(spark, sf), PL.PAD_ID, keep=("rank", "batch_no", "epoch", "step"))
 
 
 def _step0_gradient(spark, sf, loss):

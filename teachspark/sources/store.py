@@ -38,17 +38,22 @@ def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> D
 
 
 def prepared_or_build(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], params: dict, split_col: str = "split"
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], params: dict, split_col: str | None = "split"
 ) -> DataFrame:
     """Reuse prepared data when its parameter fingerprint matches, else rebuild.
 
     Unlike a bare directory-exists test, changed parameters trigger a rebuild
     and a half-written directory (no fingerprint yet) is never reused: the
-    fingerprint is written only after the data job succeeded.
+    fingerprint is written only after the data job succeeded. With
+    ``split_col=None`` the table is written unpartitioned.
     """
     fp = fingerprint(params)
     if _stored_fingerprint(spark, path) != fp:
-        write_prepared(build(), path, split_col)
+        df = build()
+        if split_col:
+            write_prepared(df, path, split_col)
+        else:
+            df.write.mode("overwrite").parquet(path)
         spark.createDataFrame([(fp,)], "fingerprint string").coalesce(1).write.mode("overwrite").json(
             f"{path}/_fingerprint"
         )
