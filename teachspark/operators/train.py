@@ -9,8 +9,9 @@ token given the previous one, plus AdamW moments). A training step is:
 2. gradient w.r.t. the logits in closed form, joined on ``(ctx, tok)``;
 3. global L2 clip (one scalar aggregate);
 4. AdamW as column arithmetic;
-5. the new table is checkpointed (reliable, in ``spark.checkpoint.dir``) so
-   the plan does not grow with the step count.
+5. the new table is written to the shared folder named by
+   ``spark.checkpoint.dir`` and read back, so the plan does not grow with
+   the step count.
 
 Every per-context window below is partitioned by ``ctx``: one partition is
 one model row of V entries, whatever the data size.
@@ -125,36 +126,54 @@ class DistillConfig:
     skip_batches: int | None = None
 
 
+def _written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Write once to shared storage and read back: one computation, and the lineage is cut."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def distill(
     spark: SparkSession, W0: DataFrame, teacher: DataFrame, positions: DataFrame, cfg: DistillConfig,
     snapshot_root: str | None = None,
     progress: Callable[[int, float, float, float], None] | None = None,
+    work_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The step loop. ``positions`` carries ``step, rank, ctx`` (and ``batch_no`` for skips).
 
     Returns the final parameters and the loss curve ``(step, loss, grad_norm, lr)``.
-    Per step only scalars (loss, norm) reach the driver. Teacher and
-    positions are checkpointed once; the parameters after every step.
+    Per step only two scalars (loss, norm) reach the driver. Teacher and
+    positions are written once (positions partitioned by step, so a step
+    reads only its own files); the gradient and the parameters of every step
+    are written to the shared folder and read back, so the plan never grows
+    and a lost executor re-reads files instead of replaying earlier steps.
+    With ``snapshot_root`` the parameters of each step are kept as S6
+    snapshots with a manifest.
     """
+    import uuid
+
+    from ..session import shared_path
     from ..sources.store import write_snapshot
 
-    teacher = teacher.select("ctx", "tok", "logp").checkpoint()
-    positions = positions.select("step", "rank", "ctx", *(["batch_no"] if cfg.skip_batches else [])).checkpoint()
-    W = W0.checkpoint()
+    work = work_dir or shared_path(spark, "distill", uuid.uuid4().hex)
+    teacher = _written(teacher.select("ctx", "tok", "logp"), f"{work}/teacher")
+    keep = ["step", "rank", "ctx"] + (["batch_no"] if cfg.skip_batches else [])
+    positions = _written(positions.select(*keep), f"{work}/positions", partition_by="step")
+    W = _written(W0.select("ctx", "tok", "logit", "m", "v"), f"{work}/W-0")
     curve = []
     for step in range(cfg.steps):
-        if cfg.skip_batches:
-            # Skipped batches count as steps but are not trained on.
-            if positions.filter((F.col("step") == step) & (F.col("batch_no") < cfg.skip_batches)).limit(1).count():
-                continue
         pos = positions.filter(F.col("step") == step)
-        grad = gradient(W, teacher, context_weights(pos, cfg.world_size), cfg.loss).checkpoint()
+        if cfg.skip_batches and pos.filter(F.col("batch_no") < cfg.skip_batches).limit(1).count():
+            continue  # skipped batches count as steps but are not trained on
+        grad = _written(gradient(W, teacher, context_weights(pos, cfg.world_size), cfg.loss), f"{work}/grad-{step}")
         stats = grad.agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("n"), F.sum("loss_term").alias("l")).collect()[0]
         norm, loss = float(stats["n"] or 0.0), float(stats["l"] or 0.0)
         lr = lr_at(step, cfg.learning_rate, cfg.warmup_steps, cfg.schedule)
-        W = adamw(W, grad, lr, cfg.weight_decay, step + 1, clip_factor(norm)).checkpoint()
+        new_W = adamw(W, grad, lr, cfg.weight_decay, step + 1, clip_factor(norm))
         if snapshot_root:
-            write_snapshot(W, snapshot_root, step + 1)
+            W = spark.read.parquet(write_snapshot(new_W, snapshot_root, step + 1))
+        else:
+            W = _written(new_W, f"{work}/W-{step + 1}")
         curve.append((step, loss, norm, lr))
         if progress:
             progress(step, loss, norm, lr)

@@ -396,7 +396,7 @@ def q_adamw_step(spark, sf):
 
 
 def q_lr_schedule(spark, sf):
-    steps = _train_positions(spark, sf).select("step").distinct()
+    steps = PL.train_epochs(spark, sf).select("step").distinct()
     warm = float(max(1, P.warmup_steps))
     lr = F.when(F.col("step") < P.warmup_steps, F.lit(P.learning_rate) * F.col("step") / warm).otherwise(
         F.lit(P.learning_rate)
