@@ -13,15 +13,25 @@ def align_positions(
 
     The last position is dropped. ``mask_col`` defaults to ``ids != pad``.
     Output: ``*keep, pos, ctx, next_tok``. Works on ragged ids (no padding).
+
+    The positions come from ``inline(arrays_zip(...))`` over shifted slices,
+    so each output row carries only scalars: exploding while keeping the
+    array column would copy the whole sequence into every position
+    (quadratic in its length).
     """
     ids = F.col(ids_col)
-    mask = F.col(mask_col) if mask_col else F.transform(ids, lambda x: x != F.lit(pad_id))
     n = F.size(ids) - 1
-    pos = F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")
-    base = df.filter(F.size(ids) > 1).select(*keep, ids.alias("__ids"), mask.alias("__m"), pos)
-    return base.filter(F.get("__m", F.col("pos") + 1)).select(
-        *keep,
-        F.col("pos").cast("int").alias("pos"),
-        F.get("__ids", "pos").alias("ctx"),
-        F.get("__ids", F.col("pos") + 1).alias("next_tok"),
+    nxt = F.slice(ids, 2, n)
+    judged = F.slice(F.col(mask_col), 2, n) if mask_col else F.transform(nxt, lambda x: x != F.lit(pad_id))
+    z = F.arrays_zip(
+        F.sequence(F.lit(0), n - 1).alias("pos"),
+        F.slice(ids, 1, n).alias("ctx"),
+        nxt.alias("next_tok"),
+        judged.alias("judged"),
+    )
+    return (
+        df.filter(F.size(ids) > 1)
+        .select(*keep, F.inline(z))
+        .filter(F.col("judged"))
+        .select(*keep, F.col("pos").cast("int").alias("pos"), "ctx", "next_tok")
     )

@@ -19,7 +19,7 @@ from ..operators import batching as B
 from ..operators import filters as FL
 from ..operators.tokenize import tokenize
 from ..sources.tables import table
-from . import pipelines as PL
+from . import stages as PL
 
 P = PINS
 Query = Callable[[SparkSession, str], DataFrame]
