@@ -24,17 +24,21 @@ PAD_ID = EOS_ID  # the reference sets pad = eos
 
 
 def materialized_path(spark: SparkSession, name: str, sf_dir: str, pins: Pins, build) -> str:
-    """Path of a derived table written once per (tables, parameters) fingerprint in the shared folder.
+    """Path of a derived table written once per fingerprint in the shared folder.
 
-    Later queries read it back instead of recomputing; the write also cuts
-    lineage, so a lost executor re-reads a file instead of replaying the
-    whole derivation.
+    The fingerprint covers the table name, the input folder (file names,
+    sizes, times), the parameters and the package code, so a change to any
+    of them rebuilds. Later queries read the table back instead of
+    recomputing; the write also cuts lineage, so a lost executor re-reads a
+    file instead of replaying the whole derivation.
     """
-    from ..session import shared_path
+    from ..session import CODE_FINGERPRINT, derived_path, input_signature
     from ..sources.store import fingerprint, prepared_or_build
 
-    params = {"name": name, "sf": sf_dir, "pins": repr(pins)}
-    path = shared_path(spark, "derived", f"{name}-{fingerprint(params)[:16]}")
+    params = {
+        "name": name, "sf": sf_dir, "inputs": input_signature(sf_dir), "pins": repr(pins), "code": CODE_FINGERPRINT,
+    }
+    path = derived_path(spark, f"{name}-{fingerprint(params)[:16]}")
     prepared_or_build(spark, path, build, params, split_col=None)
     return path
 

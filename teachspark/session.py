@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -40,10 +41,56 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="teachspark-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
+        pass
     return path
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written intermediate tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+NAMESPACE_CONF = "spark.teachspark.namespace"
+
+
+def derived_path(spark: SparkSession, *parts: str) -> str:
+    """Where fingerprinted derived tables live: shared by all jobs of a namespace.
+
+    The default namespace lets any job reuse a table whose fingerprint
+    matches; a benchmark sets its own namespace to start cold.
+    """
+    ns = spark.conf.get(NAMESPACE_CONF, None) or "derived"
+    return shared_path(spark, ns, *parts)
+
+
+def _code_fingerprint() -> str:
+    root = os.path.dirname(os.path.abspath(__file__))
+    h = hashlib.sha256()
+    for dirpath, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(f.encode() + b"\0" + fh.read())
+    return h.hexdigest()[:16]
+
+
+CODE_FINGERPRINT = _code_fingerprint()
+
+
+def input_signature(path: str) -> list:
+    """Names, sizes and modification times of the files under a local input folder.
+
+    Remote folders (no local stat) contribute their path only; Spark writers
+    name new files uniquely, so a rewrite still changes the listing there.
+    """
+    if not os.path.isdir(path):
+        return [path]
+    out = []
+    for dirpath, _, files in sorted(os.walk(path)):
+        for f in sorted(files):
+            st = os.stat(os.path.join(dirpath, f))
+            out.append((os.path.relpath(os.path.join(dirpath, f), path), st.st_size, int(st.st_mtime)))
+    return out
