@@ -78,7 +78,13 @@ def examples(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
     """Offline examples: B1 split (before filtering) -> P4 -> P5 (both texts) -> F2 -> P6/P7.
 
     Test rows get source labels masked, train rows keep them (train_on_inputs).
+    Written once per fingerprint: the index builders below pass over it
+    several times, and tokenising is the expensive part.
     """
+    return materialized(spark, "examples", sf_dir, pins, lambda: _examples(spark, sf_dir, pins))
+
+
+def _examples(spark: SparkSession, sf_dir: str, pins: Pins) -> DataFrame:
     vocab = vocabulary(spark, sf_dir, pins)
     ins = B.split_train_test(instructions(spark, sf_dir), "id", seed=pins.seed)
     ex = build_examples(ins, pins.template, keep=("split",))
@@ -208,7 +214,10 @@ def online_batches(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataF
 
 
 def _online_batches(spark: SparkSession, sf_dir: str, pins: Pins) -> DataFrame:
-    p = filtered_prompts(spark, sf_dir, pins).select("id", "input_ids", "n_tokens")
+    p = materialized(
+        spark, "online_prompts", sf_dir, pins,
+        lambda: filtered_prompts(spark, sf_dir, pins).select("id", "input_ids", "n_tokens"),
+    )
     n = p.count()
     b = B.assign_batches(B.shard(B.ordered_index(p, "id", n=n), pins.world_size, n=n), pins.batch_size)
     from pyspark.sql import Window
