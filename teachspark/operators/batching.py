@@ -42,11 +42,12 @@ def split_train_test(
             out_col, F.when(F.substring(h, 1, 8) < fraction_threshold(frac), "test").otherwise("train")
         )
     work = df.withColumn("__h", h)
-    n = work.count()
+    # One pass: the bucket histogram (at most 4,096 rows) also gives n.
+    hist = work.groupBy(F.substring("__h", 1, 3).alias("b")).count().orderBy("b").collect()
+    n = sum(r["count"] for r in hist)
     n_test = math.ceil(frac * n)
     if n_test == 0:
         return df.withColumn(out_col, F.lit("train"))
-    hist = work.groupBy(F.substring("__h", 1, 3).alias("b")).count().orderBy("b").collect()
     seen = 0
     boundary, need = None, 0
     for r in hist:

@@ -23,7 +23,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, CLIP_EPS, CLIP_NORM
@@ -165,9 +165,15 @@ def distill(
         pos = positions.filter(F.col("step") == step)
         if cfg.skip_batches and pos.filter(F.col("batch_no") < cfg.skip_batches).limit(1).count():
             continue  # skipped batches count as steps but are not trained on
-        grad = _written(gradient(W, teacher, context_weights(pos, cfg.world_size), cfg.loss), f"{work}/grad-{step}")
-        stats = grad.agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("n"), F.sum("loss_term").alias("l")).collect()[0]
-        norm, loss = float(stats["n"] or 0.0), float(stats["l"] or 0.0)
+        # The norm and the loss are observed while the gradient is written:
+        # no second pass over it.
+        obs = Observation(f"grad-{step}")
+        g = gradient(W, teacher, context_weights(pos, cfg.world_size), cfg.loss).observe(
+            obs, F.sum(F.col("g") * F.col("g")).alias("ss"), F.sum("loss_term").alias("l")
+        )
+        grad = _written(g, f"{work}/grad-{step}")
+        stats = obs.get
+        norm, loss = math.sqrt(float(stats["ss"] or 0.0)), float(stats["l"] or 0.0)
         lr = lr_at(step, cfg.learning_rate, cfg.warmup_steps, cfg.schedule)
         new_W = adamw(W, grad, lr, cfg.weight_decay, step + 1, clip_factor(norm))
         if snapshot_root:
