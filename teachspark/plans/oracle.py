@@ -355,7 +355,9 @@ QUERIES: dict[str, str] = {
     "build_examples": with_("ins")
     + f"SELECT id, {SRC} AS source, {SRC} || output AS example FROM ins",
     "tokenize": with_("vm")
-    + f"SELECT doc_id, len(ids)::BIGINT AS n_tokens, {csv('ids[1:2048]')} AS ids FROM ({doc_tokens()})",
+    + f"SELECT doc_id, len(ids)::BIGINT AS n_tokens, coalesce(list_sum(ids), 0)::BIGINT AS id_sum, {csv('ids[1:2048]')} AS ids FROM ({doc_tokens()})",
+    "tokenize_plugin": with_("vm")
+    + f"SELECT doc_id, len(ids)::BIGINT AS n_tokens, coalesce(list_sum(ids), 0)::BIGINT AS id_sum, {csv('ids[1:2048]')} AS ids FROM ({doc_tokens()})",
     "filter_prompt_length": with_("prm_f") + "SELECT id, n_tokens FROM prm_f",
     "truncate_ids": with_("prm_tok") + f"SELECT id, {csv(f'ids[1:{P.truncate_len}]')} AS ids FROM prm_tok",
     "filter_example_length": with_("ex") + "SELECT id, split, n_tokens FROM ex",

@@ -67,10 +67,36 @@ def q_build_examples(spark, sf):
 
 
 def q_tokenize(spark, sf):
+    """P5 over every whole document: full count and id checksum, ids truncated to 2048."""
     vocab = PL.vocabulary(spark, sf)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    t = tokenize(docs, "text", vocab, "ids", add_bos=P.add_bos, count_col="n_tokens")
-    return t.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), csv("ids").alias("ids"))
+    t = tokenize(docs, "text", vocab, "all_ids", max_length=None, add_bos=P.add_bos)
+    return t.select(
+        "doc_id",
+        F.size("all_ids").cast("long").alias("n_tokens"),
+        F.aggregate("all_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+        csv(F.slice("all_ids", 1, 2048)).alias("ids"),
+    )
+
+
+def q_tokenize_plugin(spark, sf):
+    """P5 through the plug-in path: a Python tokenizer in an Arrow iterator UDF, same output."""
+    from ..operators.tokenize import PluginTokenizer, tokenize_with
+
+    vocab = PL.vocabulary(spark, sf)
+
+    class RegexWords(PluginTokenizer):
+        def encode_batch(self, texts):
+            return [vocab.encode(t, P.add_bos) for t in texts]
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    t = tokenize_with(docs, "text", RegexWords, "all_ids", max_length=None)
+    return t.select(
+        "doc_id",
+        F.size("all_ids").cast("long").alias("n_tokens"),
+        F.aggregate("all_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+        csv(F.slice("all_ids", 1, 2048)).alias("ids"),
+    )
 
 
 def q_filter_prompt_length(spark, sf):
