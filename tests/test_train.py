@@ -87,6 +87,10 @@ def test_distill_loss_falls(spark, tmp_path):
     assert len(seen) == 12 and abs(losses[0] - _loss(Z, "rkl")) < 1e-12
     assert losses[-1] < 0.1 * losses[0]
     assert spark.read.parquet(str(tmp_path / "snap" / "_manifest")).count() == 12
+    # parameters are read back from a written table every step: the plan does not grow
+    W12, _ = TR.distill(spark, W, teacher, steps, TR.DistillConfig(steps=2, learning_rate=0.1))
+    plan = W12._jdf.queryExecution().analyzed().toString()
+    assert len(plan.splitlines()) <= 2 and "Relation" in plan
 
 
 def _manifest(spark, steps, final):
