@@ -50,10 +50,15 @@ def test_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     df.write.parquet(src)
     vocab = Vocabulary(("do", "thing", "out"))
+    cols = ("id", "split", "n_tokens", "n_real", "input_ids", "attention_mask")
     run_available_now(
-        prepare_prompts(read_instruction_stream(spark, src), vocab).select("id", "split", "n_tokens"),
+        prepare_prompts(read_instruction_stream(spark, src), vocab).select(*cols),
         str(tmp_path / "sink"), str(tmp_path / "ckpt"),
     )
-    streamed = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "sink")).collect())
-    batch = sorted(tuple(r) for r in prepare_prompts(df, vocab).select("id", "split", "n_tokens").collect())
+    def rows(d):
+        return sorted((r["id"], r["split"], r["n_tokens"], r["n_real"], tuple(r["input_ids"]), tuple(r["attention_mask"]))
+                      for r in d.select(*cols).collect())
+
+    streamed = rows(spark.read.parquet(str(tmp_path / "sink")))
+    batch = rows(prepare_prompts(df, vocab))
     assert streamed == batch and len(batch) == 30
