@@ -5,7 +5,7 @@ Nothing is deleted here: retention returns the rows to drop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SNAPSHOTS_KEPT
@@ -20,10 +20,18 @@ def latest_snapshot(manifest: DataFrame, run_col: str = "run_id") -> DataFrame:
 
 
 def expired_snapshots(manifest: DataFrame, keep: int = SNAPSHOTS_KEPT, run_col: str = "run_id") -> DataFrame:
-    """Step snapshots beyond the newest ``keep`` of their run; the final one is exempt."""
-    w = Window.partitionBy(run_col).orderBy(F.desc("step"))
-    steps = manifest.filter(~F.col("is_final"))
-    return steps.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") > keep).drop("__rn")
+    """Step snapshots beyond the newest ``keep`` of their run; the final one is exempt.
+
+    No window: ``keep`` rounds of "per-run max, then keep what is below it"
+    leave exactly the older steps. Each round is a partial + final aggregate
+    and a join on the run (AQE splits a skewed run), so one run holding most
+    of the manifest is never sorted in a single task.
+    """
+    rest = manifest.filter(~F.col("is_final"))
+    for _ in range(keep):
+        top = rest.groupBy(run_col).agg(F.max("step").alias("__top"))
+        rest = rest.join(top, run_col).filter(F.col("step") < F.col("__top")).drop("__top")
+    return rest
 
 
 def manifest_from_events(events: DataFrame) -> DataFrame:
