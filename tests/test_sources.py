@@ -41,3 +41,30 @@ def test_plugin_tokenizer_matches_builtin(spark):
     native = {r["id"]: list(r["ids"]) for r in tokenize(df, "text", Vocabulary(("a", "b")), "ids", max_length=5).collect()}
     plug = {r["id"]: list(r["ids"]) for r in tokenize_with(df, "text", _Words, "ids", max_length=5).collect()}
     assert native == plug and native[3] == [4] * 5
+
+
+def test_hashed_lookup_large_vocabulary(spark):
+    import random
+
+    rnd = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzàéü"
+    words = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(6000)})[:5000]
+    vocab = Vocabulary(tuple(words))
+    assert vocab.n_buckets > 1000
+    texts = [" ".join(rnd.choice(words + ["zzzzzzz", "42", "?"]) for _ in range(200)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: list(r["ids"]) for r in tokenize(df, "text", vocab, "ids", max_length=None).collect()}
+    assert all(got[i] == vocab.encode(t) for i, t in enumerate(texts))
+
+
+def test_read_scores_prunes_columns(spark, tmp_path):
+    from teachspark.sources.store import read_scores
+
+    path = str(tmp_path / "scores")
+    spark.createDataFrame(
+        [(1, 0, [0.1, 0.2], "x" * 100)], "id long, pos int, logits array<float>, extra string"
+    ).write.parquet(path)
+    df = read_scores(spark, path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,pos:int,logits:array<float>>" in plan
+    assert df.first()["pos"] == 0
