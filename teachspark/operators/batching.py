@@ -120,7 +120,9 @@ def ordered_index(
         n_buckets = math.ceil(n / rows_per_bucket) if n else 1
     n_buckets = max(1, min(n_buckets, MAX_BUCKETS))
     if n_buckets == 1:
-        return _dense_index(df, F.lit(0), [F.col(id_col)], out_col)
+        # One bucket of at most ``rows_per_bucket`` rows: its offset is 0, so no count job.
+        w = Window.partitionBy(F.lit(0)).orderBy(F.col(id_col))
+        return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("long"))
     from pyspark.ml.feature import Bucketizer
 
     probs = [i / n_buckets for i in range(1, n_buckets)]
