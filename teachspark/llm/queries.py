@@ -6,7 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .bytebpe import count_tokens, encode_texts
 from .sharding import shard_documents
+from .warc import archive_pages
+
+#: The vocabulary file that the token queries use; operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
+#: Tokens above which ``over_limit`` holds.
+TOKEN_LIMIT = 1024
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = count_tokens(spark, docs, vocabulary())
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_texts(spark, docs, vocabulary(), keep_ids=False)
+    return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +42,16 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_pages(spark, table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")
+
+
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
+    "op5_bpe_automaton": op5_bpe_automaton,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
