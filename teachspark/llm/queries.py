@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .bytebpe import count_tokens, encode_texts
+from .pii import KINDS, find_pii, spans_string
 from .sharding import shard_documents
 from .warc import archive_pages
 
@@ -35,6 +36,12 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents")).withColumn("every", F.concat("base", "added"))
+    counts = [F.expr(f"cast(size(filter(base, o -> o.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(spans_string("base"), 256).alias("base_sha256"), spans_string("every").alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.select(
@@ -50,6 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op7_pii": op7_pii,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op10_warc": op10_warc,
 }
