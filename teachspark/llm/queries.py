@@ -9,6 +9,7 @@ from ..sources.tables import table
 from .bytebpe import count_tokens, encode_texts
 from .pii import KINDS, find_pii, spans_string
 from .sharding import shard_documents
+from .toxicity import held_out, score_documents, train
 from .warc import archive_pages
 
 #: The vocabulary file that the token queries use; operators take any path.
@@ -36,6 +37,13 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    sentences = F.transform("toxicity.offending", lambda s: F.concat_ws(":", s["start"], s["stop"]))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "toxicity.score", "toxicity.predicted", F.array_join(sentences, ",").alias("sentences"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents")).withColumn("every", F.concat("base", "added"))
     counts = [F.expr(f"cast(size(filter(base, o -> o.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
@@ -57,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op10_warc": op10_warc,
