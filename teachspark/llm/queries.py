@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .bytebpe import count_tokens, encode_texts
+from .decontam import contaminated
 from .pii import KINDS, find_pii, spans_string
 from .sharding import shard_documents
 from .toxicity import held_out, score_documents, train
@@ -57,6 +58,10 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_pages(spark, table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 
