@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .bytebpe import count_tokens, encode_texts
 from .decontam import contaminated
+from .minhash import near_duplicates
 from .pii import KINDS, find_pii, spans_string
 from .sharding import shard_documents
 from .toxicity import held_out, score_documents, train
@@ -25,6 +26,10 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = count_tokens(spark, docs, vocabulary())
@@ -68,6 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bottom_k": op2_bottom_k,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_toxicity": op6_toxicity,
