@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .bytebpe import count_tokens, encode_texts
 from .decontam import contaminated
+from . import licenses
 from .minhash import near_duplicates
 from .pii import KINDS, find_pii, spans_string
 from .sharding import shard_documents
@@ -26,6 +27,10 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -73,6 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_bottom_k": op2_bottom_k,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_automaton": op5_bpe_automaton,
@@ -83,4 +89,6 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses.oracle_sql(),
+}
