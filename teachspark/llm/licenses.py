@@ -188,8 +188,9 @@ u as (
 ),
 n as (select distinct r, doc_id, unit, place, x || ' ' || y as b from (select r, doc_id, unit, place, {pair} from (select *, {words('content')} as w from u) where len(w) > 1)),
 ug as (select *, count(*) over (partition by r, unit, place) as un from n),
-s as (select r, doc_id, unit, place, license, at_, un, tn, count(*) as shared, 2.0 * count(*) / (un + tn) as dice from ug join tg using (b) group by all),
+c as (select r, doc_id, unit, place, license, at_, un, tn, count(*) as shared from ug join tg using (b) group by all),
+s as (select *, cast(2 * shared as double) / (un + tn) as dice from c),
 best as (select *, row_number() over (partition by r, unit, place order by dice desc, at_) as k from s where dice >= {dice})
-select doc_id, unit, cast(place as int) as place, license, cast(shared as int) as shared, cast(un as int) as unit_bigrams, cast(tn as int) as template_bigrams, round(cast(dice as double), 6) as dice
+select doc_id, unit, cast(place as int) as place, license, cast(shared as int) as shared, cast(un as int) as unit_bigrams, cast(tn as int) as template_bigrams, round(dice, 6) as dice
 from best where k = 1
 """
