@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .ann import nearest
 from .bytebpe import count_tokens, encode_texts
 from .decontam import contaminated
 from . import licenses
@@ -35,6 +36,11 @@ def op2_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = count_tokens(spark, docs, vocabulary())
@@ -80,6 +86,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_bottom_k": op2_bottom_k,
+    "op3_nn_descent": op3_nn_descent,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_toxicity": op6_toxicity,
