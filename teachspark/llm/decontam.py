@@ -248,7 +248,7 @@ class Searcher:
             self._collide(group, norm, out)
         for item in self.index.short:
             for i, t in enumerate(norm):
-                if (m := re.search(rf"(?<!\S){re.escape(self.index.texts[item])}(?!\S)", t)) and (item not in out[i] or out[i][item][0]):
+                if (m := re.search(rf"(?<!\w){re.escape(self.index.texts[item])}(?!\w)", t)) and (item not in out[i] or out[i][item][0]):
                     out[i][item] = (0, m.start(), m.end())
         return [[(item, a, b, e) for item, (e, a, b) in sorted(found.items())] for found in out]
 
