@@ -14,7 +14,8 @@ classes come from inverted lists of retained values:
    comes near the threshold the whole sets decide.
 3. Lists whose members are still in several components are finished exactly: with the whole sets of
    their members, by prefix filtering over shingles from rare to frequent, leaving out pairs inside
-   a list's largest component and pairs that share too few non-unique shingles to pass.
+   a list's largest component and pairs that share too few non-unique shingles to pass. Large lists
+   (families of edited copies) are finished by how members differ from their hub.
 
 No list is cut off and no pair is dropped unseen. Sketches and lists are rows of bounded size, hot
 values are met by joins that adaptive execution splits, and each stage is a written table.
@@ -218,38 +219,94 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.mapInPandas(check, "a long, b long")
 
 
+#: Pairs that a list may hold for its members to be paired at once; larger lists are finished around their hubs.
+PAIRED_LIST = 20_000
+
+
 def finishing_pairs(lists: DataFrame, component: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of different components that lists hold, by prefix filtering over the whole sets of the members of mixed lists."""
+    """Candidate pairs of different components that lists hold, for the members of lists with several components.
+
+    The whole sets are used: first by prefix filtering over shingles from rare to frequent, without
+    pairs inside a list's largest component and pairs that share too few non-unique shingles. Lists
+    that would still hold many pairs go to :func:`around_hubs`.
+    """
     threshold = percent / 100
     placed = lists.join(component.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
     members = cut(placed.join(mixed, "value", "left_semi").select("key", "n", "component").distinct(), "minhash-mixed")
 
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for batch in batches:
-            for key, n, comp, s in zip(batch["key"], batch["n"], batch["component"], shingler.sets(list(batch["text"])), strict=True):
-                yield pd.DataFrame({"key": key, "n": n, "component": comp, "value": s})
+            sets = list(shingler.sets(list(batch["text"])))
+            yield pd.DataFrame({"key": batch["key"], "n": batch["n"], "component": batch["component"], "values": sets})
 
-    whole = cut(members.join(texts, "key").select("key", "n", "component", "text").mapInPandas(shingles, "key long, n long, component long, value long"), "minhash-sets")
+    sets = members.join(texts, "key").select("key", "n", "component", "text").mapInPandas(whole_sets, "key long, n long, component long, values array<long>")
+    sets = cut(sets, "minhash-sets")
+    whole = sets.select("key", "n", "component", F.explode("values").alias("value"))
     # A shingle that one member has, or only members of one component, can't link components.
     seen = whole.groupBy("value").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     met = cut(whole.join(seen.where("df > 1"), "value"), "minhash-met")
     shared = met.groupBy("key", "n").agg(F.count("*").alias("shared"))
     # Of its non-unique shingles a class needs the rarest n - ceil(threshold * n) + 1, less the unique ones, which come first.
     slots = shared.withColumn("slots", F.col("shared") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("slots > 0").select("key", "shared", "slots")
-    ranked = met.join(slots, "key")
     # The rank among a class's own shingles (at most its set size) by (df, value): a window over one class.
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("df", "value"))).where("rank <= slots and low <> high")
+    own = F.row_number().over(W.partitionBy("key").orderBy("df", "value"))
+    ranked = met.join(slots, "key").withColumn("rank", own).where("rank <= slots and low <> high")
     prefix = cut(ranked.select("value", "key", "n", "component", "shared", _band(F.col("n"), threshold).alias("band")), "minhash-prefix")
     # In each list the largest component's members are met only by the others.
     sizes = prefix.groupBy("value", "component").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
-    left = prefix.join(largest, "value").where("component <> largest")
+    largest = sizes.groupBy("value").agg(F.max(F.struct("m", "component")).alias("x"), F.sum("m").alias("members"))
+    largest = largest.select("value", F.col("x.component").alias("largest"), ((F.col("members") - F.col("x.m")) * F.col("members") > PAIRED_LIST).alias("large"))
+    prefix = cut(prefix.join(largest, "value"), "minhash-sized")
+
+    left = prefix.where("component <> largest and not large")
     left = left.select("value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("shared").alias("m2"))
     enough = F.least("shared", "m2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    both = left.join(prefix, ["value", "band"]).where((F.col("component") != F.col("c2")) & _similar_size(F.col("n"), F.col("n2"), percent) & enough)
-    return both.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+    both = left.join(prefix.where("not large"), ["value", "band"]).where((F.col("component") != F.col("c2")) & _similar_size(F.col("n"), F.col("n2"), percent) & enough)
+    pairs = both.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
+    return pairs.unionByName(around_hubs(prefix.where("large"), sets, percent)).distinct()
+
+
+def around_hubs(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of large lists, by how their members differ from the list's hub.
+
+    Let ``D`` be the symmetric difference of a set and the hub's, ``d`` its size. Two sets differ in
+    ``d1 + d2 - 2 * |D1 & D2|`` shingles, and are similar if that is at most ``c * (n1 + n2)`` with
+    ``c = (1 - t) / (1 + t)``. Where one of them isn't similar to the hub, ``d1 > c * (n1 + n hub)``,
+    they must share more than ``(d2 + c * (n hub - n2)) / 2`` elements of ``D``; where both are, they
+    are linked through the hub. So members that aren't similar to the hub are joined with the others
+    on the rarest elements of ``D`` that such an overlap can't avoid. Copies of one original with
+    edits of their own hardly share any, however many there are.
+    """
+    threshold = percent / 100
+    c = (1 - threshold) / (1 + threshold)
+    hubs = prefix.groupBy("value", "band").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), F.xxhash64("key"), "key")).alias("x"))
+    hubs = hubs.select("value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("x.key").alias("hub"))
+    pairs = cut(prefix.join(hubs, ["value", "band"]).select("hub", "key").distinct(), "minhash-around")
+    both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("values").alias("hub_values")), "hub")
+
+    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.setxor1d(a, b, assume_unique=True) for a, b in zip(batch["values"], batch["hub_values"], strict=True)]
+            yield pd.DataFrame({x: batch[x] for x in ("hub", "hub_n", "key", "n", "component")} | {"d": [len(x) for x in found], "element": found})
+
+    apart = both.mapInPandas(differences, "hub long, hub_n long, key long, n long, component long, d long, element array<long>")
+    apart = cut(apart, "minhash-apart")
+    similar = F.col("d") <= (F.col("n") + F.col("hub_n")) * c + 1e-9
+    links = apart.where(similar & (F.col("d") > 0)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+    rows = apart.withColumn("alone", ~similar).select("hub", "hub_n", "key", "n", "component", "d", "alone", F.explode("element").alias("element"))
+    df = rows.groupBy("hub", "element").agg(F.count("*").alias("df"), F.max("alone").alias("wanted"))
+    rows = rows.join(df, ["hub", "element"])
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("hub", "key").orderBy("df", "element")))
+    rows = cut(rows.where("df > 1 and wanted").drop("wanted"), "minhash-elements")
+    n, d = F.col("n"), F.col("d")
+    need_left = F.greatest(F.lit(1), F.ceil((d - c * (n + n / threshold)) / 2 - 1e-6))
+    need_right = F.greatest(F.lit(1), F.ceil((d + c * (F.col("hub_n") - n)) / 2 - 1e-6))
+    left = rows.where(F.col("alone") & (F.col("rank") <= d - need_left + 1)).select("hub", "element", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
+    right = rows.where(F.col("rank") <= d - need_right + 1).select("hub", "element", "key", "n", "component")
+    met = left.join(right, ["hub", "element"]).where((F.col("component") != F.col("c2")) & _similar_size(F.col("n"), F.col("n2"), percent))
+    return links.unionByName(met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:

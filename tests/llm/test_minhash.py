@@ -72,6 +72,14 @@ def test_equals_brute_force(spark, seed, n, percent):
     assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)) == brute(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
+def test_large_lists_around_hubs(spark, monkeypatch, n, percent):
+    """Lists of any size are finished by differences from hubs, with families whose original is missing."""
+    monkeypatch.setattr(minhash, "PAIRED_LIST", 0)
+    rows = corpus(7, families=4, size=60)
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)) == brute(rows, n, percent)
+
+
 def test_hubs_alone_would_not_do(spark):
     """A chain of texts, each linked to the next only, needs the exact last step."""
     words = [f"c{i}" for i in range(200)]
