@@ -14,7 +14,7 @@ moves for ``degree`` scores. A query that is itself a node starts at its own pla
 entry nodes. It ends when its beam holds nothing new.
 
 Equal vectors are one node: a vector that a third of all rows share is a node like any other, and
-answers list the smallest ids of its rows. Vectors travel as bytes (float32 for the search; the
+answers list the smallest ids of its rows. Vectors travel as bytes (half precision between nodes; the
 scores returned are computed on the original vectors in double precision).
 """
 
@@ -30,28 +30,38 @@ from pyspark.sql import functions as F
 from .common import cut, forget
 
 #: Neighbours a node keeps, and members (neighbours and reverse neighbours) that a round joins at a node.
-DEGREE, SAMPLE = 32, 24
+DEGREE, SAMPLE = 24, 16
 #: Random blocks: how often, and rows in one at most.
-PASSES, BLOCK = 4, 2048
+PASSES, BLOCK = 8, 8192
 #: Rounds of NN-descent at most, and the share of changed list entries below which they end.
-ROUNDS, STILL = 6, 0.02
+ROUNDS, STILL = 4, 0.02
 #: Nodes that a query's beam keeps, nodes it opens in a round, and rounds at most.
-BEAM, OPEN, STEPS = 192, 24, 12
+BEAM, OPEN, STEPS = 192, 96, 12
 #: Entry nodes for queries that are not nodes.
 ENTRIES = 64
 
 
 def _matrix(cells) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), np.float32).reshape(len(cells), -1)
+    """Vectors that travel as half-precision bytes, as rows of a float32 matrix."""
+    return np.frombuffer(b"".join(cells), np.float16).reshape(len(cells), -1).astype(np.float32)
 
 
-def nodes_of(rows: DataFrame, vec: str, id_: str, keep: int) -> DataFrame:
-    """One row for each different usable vector: node (its least id), ``vec`` (float32 bytes), ``ids`` (the ``keep`` least ids).
+def _half(x: np.ndarray) -> bytes:
+    return x.astype(np.float16).tobytes()
+
+
+def usable(rows: DataFrame, vec: str, id_: str) -> DataFrame:
+    """``id, v`` of the rows that take part.
 
     Null and zero vectors, vectors that hold a null, NaN or infinity, and rows with a null id take no part.
     """
     good = rows.where(F.col(id_).isNotNull() & F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    good = good.where(F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"))
+    return good.where(F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"))
+
+
+def nodes_of(rows: DataFrame, vec: str, id_: str, keep: int, scale: float = 1.0) -> DataFrame:
+    """One row for each different usable vector: node (its least id), ``vec`` (half-precision bytes of it times ``scale``), exact, ``ids`` (the ``keep`` least ids)."""
+    good = usable(rows, vec, id_)
     # The least ids of a hot vector: first those of each hash part, then of all, so no task holds a third of the rows.
     part = good.distinct().groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, keep).alias("ids"))
     whole = part.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
@@ -59,7 +69,7 @@ def nodes_of(rows: DataFrame, vec: str, id_: str, keep: int) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             v = [np.asarray(x, np.float64) for x in batch["v"]]
-            yield pd.DataFrame({"node": [x[0] for x in batch["ids"]], "vec": [x.astype(np.float32).tobytes() for x in v], "exact": [x.tobytes() for x in v], "ids": batch["ids"]})
+            yield pd.DataFrame({"node": [x[0] for x in batch["ids"]], "vec": [_half(x * scale) for x in v], "exact": [x.tobytes() for x in v], "ids": batch["ids"]})
 
     return whole.mapInPandas(pack, "node long, vec binary, exact binary, ids array<long>")
 
@@ -159,7 +169,7 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number
     rows = rows.select("m.near", "m.new", "m.vec")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        few = max(2, sample // 3)
+        few = max(2, sample // 4)
         for batch in batches:
             out = []
             for near, new, vec in zip(batch["near"], batch["new"], batch["vec"], strict=True):
@@ -226,7 +236,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
             for batch in batches:
                 out_n, out_s = [], []
                 for vec, near, vecs in zip(batch["vec"], batch["near"], batch["vecs"], strict=True):
-                    value = _matrix(list(vecs)) @ np.frombuffer(vec, np.float32)
+                    value = _matrix(list(vecs)) @ _matrix([vec])[0]
                     out_n.append(np.asarray(near))
                     out_s.append(value)
                 yield pd.DataFrame({"query": batch["query"], "near": out_n, "value": out_s})
@@ -276,9 +286,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec: str = "embedd
     sizes = rows.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     same = F.size(vec) == (sizes["dim"] if sizes else 0)
     rows, queries = rows.where(same), queries.where(same)
-    nodes = cut(nodes_of(rows, vec, id_, k + 1), "ann-nodes")
+    # All components within 1, so that half precision holds them.
+    largest = usable(rows, vec, id_).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0]
+    scale = 1.0 / largest if largest else 1.0
+    nodes = cut(nodes_of(rows, vec, id_, k + 1, scale), "ann-nodes")
     graph = build_graph(nodes)
-    ask = nodes_of(queries, vec, id_, 1).select("vec", "exact").join(nodes.select(F.col("node"), F.col("exact").alias("e")), F.col("exact") == F.col("e"))
+    ask = nodes_of(queries, vec, id_, 1, scale).select("vec", "exact").join(nodes.select(F.col("node"), F.col("exact").alias("e")), F.col("exact") == F.col("e"))
     ask = cut(ask.select(F.col("node").alias("query"), "vec", F.col("node").alias("start"), "exact"), "ann-queries")
     found = search_graph(nodes, graph, ask.select("query", "vec", "start"))
     found = found.unionByName(ask.select("query", F.col("query").alias("node"))).distinct()
@@ -301,10 +314,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec: str = "embedd
 
 
 def _exact_rows(rows: DataFrame, vec: str, id_: str) -> DataFrame:
-    good = rows.where(F.col(id_).isNotNull() & F.col(vec).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).distinct()
+    good = usable(rows, vec, id_).distinct()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "exact": [np.array([np.nan if y is None else y for y in x], np.float64).tobytes() for x in batch["v"]]})
+            yield pd.DataFrame({"id": batch["id"], "exact": [np.asarray(x, np.float64).tobytes() for x in batch["v"]]})
 
     return good.mapInPandas(pack, "id long, exact binary")
