@@ -1,4 +1,4 @@
-"""teachspark: teacher/student distillation data work as Spark DataFrame jobs."""
+"""teachspark: data work for fitting one next-token model to another, as Spark DataFrame jobs."""
 
 import sys as _sys
 

@@ -69,37 +69,47 @@ def split_train_test(
     return work.withColumn(out_col, F.when(is_test, "test").otherwise("train")).drop("__h")
 
 
-def _dense_index(df: DataFrame, bucket: Column, order: list[Column], out_col: str) -> DataFrame:
-    """idx = (rows in earlier buckets) + rank inside the bucket - 1."""
+def _dense_index(df: DataFrame, bucket: Column, order: list[Column], out_col: str, wide: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """idx = (rows in earlier buckets) + rank inside the bucket - 1.
+
+    ``keys`` holds what ``bucket`` needs and no more, so that counting doesn't evaluate the rest of the rows.
+    """
     work = df.withColumn("__b", bucket)
-    counts = work.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    # The counts table has at most MAX_BUCKETS rows; its running sum is the
-    # only single-partition step and it is bounded by the bucket count.
+    counts = (work if keys is None else keys.withColumn("__b", bucket)).groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    # One row a bucket: its running sum is the only single-partition step, a
+    # ``rows_per_bucket``-th of the rows.
     offsets = counts.select(
         "__b",
         (F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).alias("__off"),
     ).select("__b", F.coalesce("__off", F.lit(0)).alias("__off"))
     w = Window.partitionBy("__b").orderBy(*order)
     return (
-        work.join(F.broadcast(offsets), "__b")
+        work.join(offsets if wide else F.broadcast(offsets), "__b")
         .withColumn(out_col, (F.col("__off") + F.row_number().over(w) - 1).cast("long"))
         .drop("__b", "__off")
     )
 
 
 def shuffle_index(
-    df: DataFrame, id_col: str = "id", seed: int = DEFAULT_SEED, out_col: str = "idx", bucket_digits: int = 3
+    df: DataFrame, id_col: str = "id", seed: int = DEFAULT_SEED, out_col: str = "idx", bucket_digits: int | None = None,
+    n: int | None = None, rows_per_bucket: int = 100_000,
 ) -> DataFrame:
     """B2: dense 0-based index in seeded random order: ``order by md5(seed:id), id``.
 
     Buckets are the first ``bucket_digits`` hex digits of the hash (uniform for
-    unique ids), so no bucket is hot.
+    unique ids), so no bucket is hot. Without ``bucket_digits`` their number
+    follows the row count (about ``rows_per_bucket`` rows each, 4,096 buckets
+    at least); more than ``MAX_BUCKETS`` are numbered without a broadcast.
     """
-    if 16**bucket_digits > MAX_BUCKETS:
-        raise ValueError("too many buckets")
+    if bucket_digits is None:
+        n = df.count() if n is None else n
+        bucket_digits = max(3, math.ceil(math.log(max(1, n / rows_per_bucket), 16)))
     h = keyed_md5(seed, id_col)
     work = df.withColumn("__h", h)
-    out = _dense_index(work, F.substring("__h", 1, bucket_digits), [F.col("__h"), F.col(id_col)], out_col)
+    keys = df.select(h.alias("__h"))
+    out = _dense_index(
+        work, F.substring("__h", 1, bucket_digits), [F.col("__h"), F.col(id_col)], out_col, 16**bucket_digits > MAX_BUCKETS, keys
+    )
     return out.drop("__h")
 
 

@@ -70,7 +70,7 @@ def evaluate(batches: DataFrame, by: list[str] = (), cols: tuple[str, ...] = DIV
     """One row per (by..., metric).
 
     Default is the reference's unweighted mean of batch means; ``weighted``
-    gives the position-weighted mean under the same metric names.
+    gives the position-weighted mean, its metrics named ``weighted_...``.
     """
     by = list(by)
     stack = F.explode(
@@ -79,6 +79,7 @@ def evaluate(batches: DataFrame, by: list[str] = (), cols: tuple[str, ...] = DIV
     long = batches.select(*by, "n_positions", stack).select(*by, "n_positions", "m.metric", "m.v")
     if weighted:
         agg = (F.sum(F.col("v") * F.col("n_positions")) / F.sum("n_positions")).alias("value")
+        long = long.withColumn("metric", F.concat(F.lit("weighted_"), F.col("metric")))
     else:
         agg = F.avg("v").alias("value")
     return long.groupBy(*by, "metric").agg(agg, F.count(F.lit(1)).cast("long").alias("n_batches"))

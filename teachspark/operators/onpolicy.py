@@ -44,7 +44,11 @@ class CdfSampler:
 
     def draw(self, ctx: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Smallest token id whose cumulative probability exceeds ``u``."""
-        return (self.cdf[ctx] <= u[:, None]).sum(axis=1) + 1
+        out = np.empty(len(ctx), dtype=np.int64)
+        for c in np.unique(ctx):
+            at = ctx == c
+            out[at] = np.searchsorted(self.cdf[c], u[at], side="right") + 1
+        return out
 
 
 def with_uniforms(df: DataFrame, seed: int, id_col: str, budget_col: str, out_col: str = "u") -> DataFrame:

@@ -73,11 +73,14 @@ def score_pair_mapped(
     pad_id: int,
     keep: tuple[str, ...],
     ids_col: str = "input_ids",
+    positions_at_once: int = 4096,
 ) -> DataFrame:
     """Fused M1 + M2 + A2-A4 per judged position, via one Arrow map.
 
     Output ``*keep, pos, ctx, kl_ts, kl_st, jsd_ref``; positions judged where
-    ``ids[t+1] != pad`` (P10).
+    ``ids[t+1] != pad`` (P10). A worker scores sequences until they have
+    ``positions_at_once`` positions, emits their rows and goes on, so it holds
+    that many (or one sequence's) rows of logits a model, whatever the batch.
     """
     key_fields = [f for f in df.schema.fields if f.name in keep]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
@@ -86,21 +89,31 @@ def score_pair_mapped(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, s = teacher(), student()
         for pdf in batches:
-            seqs = [np.asarray(x, dtype=np.int64) for x in pdf[ids_col]]
-            tl, sl = t.logits(seqs), s.logits(seqs)
-            out = []
-            for i, ids in enumerate(seqs):
-                if len(ids) < 2:
-                    continue
-                judged = np.nonzero(ids[1:] != pad_id)[0]
-                if judged.size == 0:
-                    continue
-                d = position_divergences(_log_softmax(tl[i][judged]), _log_softmax(sl[i][judged]))
-                part = pd.DataFrame({"pos": judged.astype(np.int32), "ctx": ids[judged].astype(np.int32), **d})
-                for k in keep:
-                    part.insert(0, k, pdf[k].iloc[i])
-                out.append(part)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            all_seqs = [np.asarray(x, dtype=np.int64) for x in pdf[ids_col]]
+            begin = 0
+            while begin < len(all_seqs):
+                end, size = begin, 0
+                while end < len(all_seqs) and (end == begin or size + len(all_seqs[end]) <= positions_at_once):
+                    size += len(all_seqs[end])
+                    end += 1
+                yield from judge(t, s, pdf.iloc[begin:end], all_seqs[begin:end])
+                begin = end
+
+    def judge(t: Scorer, s: Scorer, pdf: pd.DataFrame, seqs: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        tl, sl = t.logits(seqs), s.logits(seqs)
+        out = []
+        for i, ids in enumerate(seqs):
+            if len(ids) < 2:
+                continue
+            judged = np.nonzero(ids[1:] != pad_id)[0]
+            if judged.size == 0:
+                continue
+            d = position_divergences(_log_softmax(tl[i][judged]), _log_softmax(sl[i][judged]))
+            part = pd.DataFrame({"pos": judged.astype(np.int32), "ctx": ids[judged].astype(np.int32), **d})
+            for k in keep:
+                part.insert(0, k, pdf[k].iloc[i])
+            out.append(part)
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
     return df.select(*keep, ids_col).mapInPandas(run, schema)

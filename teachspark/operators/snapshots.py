@@ -5,7 +5,7 @@ Nothing is deleted here: retention returns the rows to drop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SNAPSHOTS_KEPT
@@ -22,16 +22,21 @@ def latest_snapshot(manifest: DataFrame, run_col: str = "run_id") -> DataFrame:
 def expired_snapshots(manifest: DataFrame, keep: int = SNAPSHOTS_KEPT, run_col: str = "run_id") -> DataFrame:
     """Step snapshots beyond the newest ``keep`` of their run; the final one is exempt.
 
-    No window: ``keep`` rounds of "per-run max, then keep what is below it"
-    leave exactly the older steps. Each round is a partial + final aggregate
-    and a join on the run (AQE splits a skewed run), so one run holding most
-    of the manifest is never sorted in a single task.
+    Two scans: the ``keep``-th largest step of each run, then one join. The
+    largest steps are found in hash parts of a run first (a window whose
+    ``row_number <= keep`` limits each part before the shuffle), then among
+    the parts' winners, so one run holding most of the manifest is never
+    sorted in a single task.
     """
     rest = manifest.filter(~F.col("is_final"))
-    for _ in range(keep):
-        top = rest.groupBy(run_col).agg(F.max("step").alias("__top"))
-        rest = rest.join(top, run_col).filter(F.col("step") < F.col("__top")).drop("__top")
-    return rest
+    if keep <= 0:
+        return rest
+    steps = rest.select(run_col, "step").filter(F.col("step").isNotNull()).distinct()
+    part = Window.partitionBy(run_col, F.pmod(F.xxhash64("step"), F.lit(64))).orderBy(F.desc("step"))
+    whole = Window.partitionBy(run_col).orderBy(F.desc("step"))
+    top = steps.withColumn("__k", F.row_number().over(part)).filter(F.col("__k") <= keep)
+    top = top.withColumn("__k", F.row_number().over(whole)).filter(F.col("__k") == keep)
+    return rest.join(top.select(run_col, F.col("step").alias("__kth")), run_col).filter(F.col("step") < F.col("__kth")).drop("__kth")
 
 
 def manifest_from_events(events: DataFrame) -> DataFrame:

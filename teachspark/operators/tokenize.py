@@ -53,6 +53,10 @@ class Vocabulary:
     def n_buckets(self) -> int:
         return max(1, len(self.words) // WORDS_PER_BUCKET)
 
+    @cached_property
+    def _index(self) -> dict[str, int]:
+        return {w: FIRST_WORD_ID + i for i, w in enumerate(self.words)}
+
     @cached_property
     def _bucket_of(self) -> tuple[int, ...]:
         """Bucket of each word under Spark's own ``pmod(hash(word), B)`` (a job over the k words)."""
@@ -107,7 +111,7 @@ class Vocabulary:
 
     def encode(self, text: str, add_bos: bool = False) -> list[int]:
         """Pure-Python twin of :meth:`ids` (tests and plug-in parity)."""
-        index = {w: FIRST_WORD_ID + i for i, w in enumerate(self.words)}
+        index = self._index
         out = [index.get(w, UNK_ID) for w in re.findall(self.pattern, text or "")]
         return ([BOS_ID] + out) if add_bos else out
 

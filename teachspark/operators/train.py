@@ -23,7 +23,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, CLIP_EPS, CLIP_NORM
@@ -87,13 +87,20 @@ def grad_norm(grad: DataFrame) -> float:
     return float(grad.agg(F.sqrt(F.sum(F.col("g") * F.col("g")))).collect()[0][0] or 0.0)
 
 
-def clip_factor(norm: float, max_norm: float = CLIP_NORM) -> float:
-    """``min(1, max_norm / (norm + 1e-6))``."""
+def clip_factor(norm: float | Column, max_norm: float = CLIP_NORM) -> float | Column:
+    """``min(1, max_norm / (norm + 1e-6))``, of a number or of a column."""
+    if isinstance(norm, Column):
+        return F.least(F.lit(1.0), F.lit(max_norm) / (norm + F.lit(CLIP_EPS)))
     return min(1.0, max_norm / (norm + CLIP_EPS))
 
 
-def lr_at(step: int, base: float, warmup: int = 0, name: str = "constant") -> float:
-    """T5: the learning rate used by optimizer step ``step`` (0-based)."""
+def lr_at(step: int | Column, base: float, warmup: int = 0, name: str = "constant") -> float | Column:
+    """T5: the learning rate used by optimizer step ``step`` (0-based), a number or a column."""
+    if isinstance(step, Column):
+        if name not in ("constant", "constant_with_warmup"):
+            raise ValueError(f"unknown schedule {name!r}")
+        warm = F.when(step < warmup, F.lit(base) * step / F.lit(float(max(1, warmup)))) if name != "constant" else F.when(F.lit(False), F.lit(base))
+        return warm.otherwise(F.lit(base))
     if name == "constant":
         return base
     if name == "constant_with_warmup":
@@ -124,6 +131,7 @@ class DistillConfig:
     loss: str = "rkl"
     world_size: int = 2
     skip_batches: int | None = None
+    clip_norm: float = CLIP_NORM
 
 
 def _written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
@@ -161,10 +169,15 @@ def distill(
     positions = _written(positions.select(*keep), f"{work}/positions", partition_by="step")
     W = _written(W0.select("ctx", "tok", "logit", "m", "v"), f"{work}/W-0")
     curve = []
+    # Skipped batches count as steps but move neither the optimizer's clock nor the schedule's.
+    skipped = set()
+    if cfg.skip_batches:
+        skipped = {r["step"] for r in positions.filter(F.col("batch_no") < cfg.skip_batches).select("step").distinct().collect()}
+    updates = 0
     for step in range(cfg.steps):
+        if step in skipped:
+            continue
         pos = positions.filter(F.col("step") == step)
-        if cfg.skip_batches and pos.filter(F.col("batch_no") < cfg.skip_batches).limit(1).count():
-            continue  # skipped batches count as steps but are not trained on
         # The norm and the loss are observed while the gradient is written:
         # no second pass over it.
         obs = Observation(f"grad-{step}")
@@ -174,8 +187,9 @@ def distill(
         grad = _written(g, f"{work}/grad-{step}")
         stats = obs.get
         norm, loss = math.sqrt(float(stats["ss"] or 0.0)), float(stats["l"] or 0.0)
-        lr = lr_at(step, cfg.learning_rate, cfg.warmup_steps, cfg.schedule)
-        new_W = adamw(W, grad, lr, cfg.weight_decay, step + 1, clip_factor(norm))
+        lr = lr_at(updates, cfg.learning_rate, cfg.warmup_steps, cfg.schedule)
+        updates += 1
+        new_W = adamw(W, grad, lr, cfg.weight_decay, updates, clip_factor(norm, cfg.clip_norm))
         if snapshot_root:
             W = spark.read.parquet(write_snapshot(new_W, snapshot_root, step + 1))
         else:

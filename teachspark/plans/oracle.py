@@ -43,7 +43,7 @@ SRC = (
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     # ---- S1 adapter: lag/lead over turns ------------------------------------
     "ins": (
-        """SELECT (conv_id * 1000 + turn)::BIGINT AS id,
+        """SELECT ((conv_id + turn) * (conv_id + turn + 1) // 2 + turn)::BIGINT AS id,
               CASE WHEN prev_role = 'system' THEN prev_text ELSE text END AS instruction,
               CASE WHEN prev_role = 'system' THEN text ELSE '' END AS input,
               next_text AS output
@@ -419,9 +419,9 @@ QUERIES: dict[str, str] = {
             SELECT split, 'jsd_p_q', jsd_ref FROM bdiv) GROUP BY split, metric""",
     "evaluate_weighted": with_("bdiv")
     + f"""SELECT split, metric, {r6('sum(v * n_positions) / sum(n_positions)')} AS value, count(*)::BIGINT AS n_batches FROM (
-            SELECT split, n_positions, 'reverse_kl' AS metric, kl_ts AS v FROM bdiv UNION ALL
-            SELECT split, n_positions, 'forward_kl', kl_st FROM bdiv UNION ALL
-            SELECT split, n_positions, 'jsd_p_q', jsd_ref FROM bdiv) GROUP BY split, metric""",
+            SELECT split, n_positions, 'weighted_reverse_kl' AS metric, kl_ts AS v FROM bdiv UNION ALL
+            SELECT split, n_positions, 'weighted_forward_kl', kl_st FROM bdiv UNION ALL
+            SELECT split, n_positions, 'weighted_jsd_p_q', jsd_ref FROM bdiv) GROUP BY split, metric""",
     "generation_budget": with_("pb") + "SELECT id, rank, batch_no, is_pad, budget, budget_batch FROM pb",
     "sample_continuations": with_("samp_agg", recursive=True)
     + f"SELECT id, len(new_ids)::BIGINT AS n_new, {csv('new_ids')} AS new_ids FROM samp_agg",
@@ -455,6 +455,16 @@ QUERIES: dict[str, str] = {
     "gradient_rkl": with_("g_rkl") + f"SELECT ctx, tok, {r9('g')} AS grad FROM g_rkl",
     "gradient_jsd": with_("g_jsd") + f"SELECT ctx, tok, {r9('g')} AS grad FROM g_jsd",
     "clip_gradient": with_("clip") + f"SELECT {r9('norm')} AS grad_norm, {r9('f')} AS clip_factor, {r9('loss')} AS loss FROM clip",
+    "clip_gradient_tight": with_("clip")
+    + f"SELECT {r9('norm')} AS grad_norm, {r9('least(1.0, 0.005 / (norm + 1e-6))')} AS clip_factor, {r9('norm * least(1.0, 0.005 / (norm + 1e-6))')} AS clipped_norm FROM clip",
+    "instruction_rejects": """SELECT count(*)::BIGINT AS n_rows,
+           coalesce(sum(CASE WHEN instruction IS NULL THEN 1 ELSE 0 END), 0)::BIGINT AS no_instruction,
+           coalesce(sum(CASE WHEN output IS NULL THEN 1 ELSE 0 END), 0)::BIGINT AS no_output
+         FROM (SELECT CASE WHEN s.conv_id IS NOT NULL THEN s.text ELSE u.text END AS instruction, a.text AS output
+               FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+               LEFT JOIN conversations s ON s.conv_id = u.conv_id AND s.turn = u.turn - 1 AND s.role = 'system'
+               WHERE u.role = 'user')
+         WHERE instruction IS NULL OR output IS NULL""",
     "adamw_step": with_("adam1") + f"SELECT ctx, tok, {r9('logit')} AS logit, {r9('m')} AS m, round(v, 15) AS v FROM adam1",
     "lr_schedule": with_("ex_ep")
     + f"""SELECT DISTINCT step, {r9(f"CASE WHEN step < {P.warmup_steps} THEN {P.learning_rate} * step / {float(max(1, P.warmup_steps))} ELSE {P.learning_rate} END")} AS lr FROM ex_ep""",

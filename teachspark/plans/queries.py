@@ -108,6 +108,14 @@ def q_truncate_ids(spark, sf):
     return PL.prompts(spark, sf).select("id", csv(truncate_ids("input_ids", P.truncate_len)).alias("ids"))
 
 
+def q_instruction_rejects(spark, sf):
+    """Rows of the adapter that can't form an example, counted by reason."""
+    count = lambda c: F.count_if(F.col(c).isNull()).cast("long")
+    return PL.rejects(spark, sf).agg(
+        F.count(F.lit(1)).cast("long").alias("n_rows"), count("instruction").alias("no_instruction"), count("output").alias("no_output")
+    )
+
+
 def q_filter_example_length(spark, sf):
     return PL.examples(spark, sf).select("id", "split", F.col("n_tokens").cast("long").alias("n_tokens"))
 
@@ -336,13 +344,8 @@ def q_onpolicy_divergence(spark, sf):
 
 
 def q_generation_stats(spark, sf):
-    s = PL.sampled(spark, sf)
-    g = s.groupBy("rank", "batch_no").agg(
-        F.count(F.lit(1)).cast("long").alias("n_rows"),
-        F.sum("n_new").cast("long").alias("new_tokens"),
-        F.sum(F.col("finished").cast("int")).cast("long").alias("n_finished"),
-    )
-    return g.withColumn("completed_share", r6(F.col("n_finished") / F.col("n_rows")))
+    g = MT.generation_stats(PL.sampled(spark, sf))
+    return g.withColumn("completed_share", r6("completed_share"))
 
 
 # ---- metrics and snapshots ---------------------------------------------------------
@@ -411,10 +414,19 @@ def q_clip_gradient(spark, sf):
     _, g = _step0_gradient(spark, sf, "rkl")
     n = F.sqrt(F.sum(F.col("g") * F.col("g")))
     out = g.agg(n.alias("grad_norm"), F.sum("loss_term").alias("loss"))
-    factor = F.least(F.lit(1.0), F.lit(1.0) / (F.col("grad_norm") + F.lit(1e-6)))
+    factor = TR.clip_factor(F.col("grad_norm"))
     return out.select(r9("grad_norm").alias("grad_norm"), r9(factor).alias("clip_factor"), r9("loss").alias("loss"))
 
 
+def q_clip_gradient_tight(spark, sf):
+    """T3 at a limit that every gradient here exceeds, and the norm after scaling."""
+    _, g = _step0_gradient(spark, sf, "rkl")
+    limit = 0.005
+    out = g.agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("grad_norm"))
+    factor = TR.clip_factor(F.col("grad_norm"), limit)
+    return out.select(r9("grad_norm").alias("grad_norm"), r9(factor).alias("clip_factor"), r9(F.col("grad_norm") * factor).alias("clipped_norm"))
+
+
 def q_adamw_step(spark, sf):
     W, g = _step0_gradient(spark, sf, "rkl")
     W1 = TR.adamw(W, g, P.learning_rate, P.weight_decay, 1, TR.clip_factor(TR.grad_norm(g)))
@@ -423,10 +435,7 @@ def q_adamw_step(spark, sf):
 
 def q_lr_schedule(spark, sf):
     steps = PL.train_epochs(spark, sf).select("step").distinct()
-    warm = float(max(1, P.warmup_steps))
-    lr = F.when(F.col("step") < P.warmup_steps, F.lit(P.learning_rate) * F.col("step") / warm).otherwise(
-        F.lit(P.learning_rate)
-    )
+    lr = TR.lr_at(F.col("step"), P.learning_rate, P.warmup_steps, "constant_with_warmup")
     return steps.select(F.col("step").cast("long").alias("step"), r9(lr).alias("lr"))
 
 
@@ -446,7 +455,10 @@ def q_distill_loss_curve(spark, sf):
 def _run_dir(spark, sf, name):
     from ..session import shared_path
 
-    return shared_path(spark, name, f"{abs(hash((sf, P))) % 10**10}")
+    from ..session import input_signature
+    from ..sources.store import fingerprint
+
+    return shared_path(spark, name, fingerprint({"sf": sf, "pins": repr(P), "inputs": input_signature(spark, sf)})[:16])
 
 
 def q_prepared_roundtrip(spark, sf):
@@ -454,7 +466,9 @@ def q_prepared_roundtrip(spark, sf):
     from ..sources.store import prepared_or_build, read_prepared
 
     path = _run_dir(spark, sf, "prepared")
-    prepared_or_build(spark, path, lambda: PL.examples(spark, sf), {"sf": sf, "pins": repr(P)})
+    from ..session import input_signature
+
+    prepared_or_build(spark, path, lambda: PL.examples(spark, sf), {"sf": sf, "pins": repr(P), "inputs": input_signature(spark, sf)})
     parts = [read_prepared(spark, path, s) for s in ("train", "test")]
     df = parts[0].unionByName(parts[1])
     return df.groupBy("split").agg(

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..config import EOS_ID, PINS, Pins
 from ..functions.arrays import mask_source, token_count
 from ..operators import batching as B
+from ..operators.filters import filter_example_length
 from ..operators.prompts import build_examples, build_prompts
 from ..operators.tokenize import Vocabulary, fit_vocabulary, tokenize
-from ..sources.instructions import instructions_from_conversations
+from ..sources.instructions import instructions_from_conversations, split_rejects
 from ..sources.tables import table
 
 PAD_ID = EOS_ID  # the reference sets pad = eos
@@ -36,7 +37,7 @@ def materialized_path(spark: SparkSession, name: str, sf_dir: str, pins: Pins, b
     from ..sources.store import fingerprint, prepared_or_build
 
     params = {
-        "name": name, "sf": sf_dir, "inputs": input_signature(sf_dir), "pins": repr(pins), "code": CODE_FINGERPRINT,
+        "name": name, "sf": sf_dir, "inputs": input_signature(spark, sf_dir), "pins": repr(pins), "code": CODE_FINGERPRINT,
     }
     path = derived_path(spark, f"{name}-{fingerprint(params)[:16]}")
     prepared_or_build(spark, path, build, params, split_col=None)
@@ -48,18 +49,26 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, pins: Pins, build)
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 adapter: instruction rows from ``conversations``."""
-    return instructions_from_conversations(table(spark, sf_dir, "conversations"))
+    """S1 adapter: instruction rows from ``conversations`` that can form an example (the others: :func:`rejects`)."""
+    return split_rejects(instructions_from_conversations(table(spark, sf_dir, "conversations")))[0]
+
+
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction rows without an instruction or an output."""
+    return split_rejects(instructions_from_conversations(table(spark, sf_dir, "conversations")))[1]
 
 
 @lru_cache(maxsize=16)
-def _vocab(spark: SparkSession, sf_dir: str, n_words: int) -> Vocabulary:
+def _vocab(spark: SparkSession, sf_dir: str, n_words: int, signature: str) -> Vocabulary:
+    """Kept per state of the input files (``signature``), so rewritten input is fitted anew."""
     return fit_vocabulary(table(spark, sf_dir, "conversations"), "text", n_words)
 
 
 def vocabulary(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> Vocabulary:
     """Top-``n_words`` vocabulary fitted on every conversation text."""
-    return _vocab(spark, sf_dir, pins.n_words)
+    from ..session import input_signature
+
+    return _vocab(spark, sf_dir, pins.n_words, repr(input_signature(spark, sf_dir)))
 
 
 def prompts(spark: SparkSession, sf_dir: str, pins: Pins = PINS) -> DataFrame:
@@ -91,7 +100,7 @@ def _examples(spark: SparkSession, sf_dir: str, pins: Pins) -> DataFrame:
     ex = tokenize(ex, "source", vocab, "source_ids", add_bos=pins.add_bos)
     ex = tokenize(ex, "example", vocab, "input_ids", add_bos=pins.add_bos)
     ex = ex.withColumn("n_tokens", F.size("input_ids"))
-    ex = ex.filter(F.col("n_tokens") < pins.model_max_length)
+    ex = filter_example_length(ex, pins.model_max_length)
     ex = ex.withColumn("source_len", token_count("source_ids", PAD_ID))
     labels = F.when(F.col("split") == "test", mask_source("input_ids", "source_len")).otherwise(F.col("input_ids"))
     return ex.select("id", "split", "input_ids", labels.alias("labels"), "n_tokens", "source_len")

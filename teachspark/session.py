@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,11 +35,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster sets it; only when it is unset (local tests) do we pick a
-    scratch folder ourselves.
+    A cluster sets it; only when it is unset and the master is local (tests)
+    do we pick a scratch folder ourselves. On any other master an unset
+    folder is an error: a driver's own folder is not the executors'.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share (master {master!r})")
         path = tempfile.mkdtemp(prefix="teachspark-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     try:
@@ -80,17 +85,15 @@ def _code_fingerprint() -> str:
 CODE_FINGERPRINT = _code_fingerprint()
 
 
-def input_signature(path: str) -> list:
-    """Names, sizes and modification times of the files under a local input folder.
-
-    Remote folders (no local stat) contribute their path only; Spark writers
-    name new files uniquely, so a rewrite still changes the listing there.
-    """
-    if not os.path.isdir(path):
+def input_signature(spark: SparkSession, path: str) -> list:
+    """Names, sizes and modification times of the files under an input folder, on any file system Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
         return [path]
-    out = []
-    for dirpath, _, files in sorted(os.walk(path)):
-        for f in sorted(files):
-            st = os.stat(os.path.join(dirpath, f))
-            out.append((os.path.relpath(os.path.join(dirpath, f), path), st.st_size, int(st.st_mtime)))
-    return out
+    root, out = system.resolvePath(folder).toUri().getPath(), []
+    files = system.listFiles(folder, True)
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toUri().getPath().removeprefix(root), f.getLen(), f.getModificationTime()))
+    return sorted(out)

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,15 @@ def read_instructions(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     return df.select(*[F.col(f.name).cast(f.dataType) for f in INSTRUCTION_SCHEMA.fields])
 
 
+def row_id(conv_id: str, turn: str) -> Column:
+    """Collision-free id of ``(conversation, turn)``: Cantor's pairing of two non-negative numbers.
+
+    It fits a bigint while their sum stays below about 4e9; beyond, ANSI mode raises instead of wrapping.
+    """
+    s = f"(cast({conv_id} as bigint) + {turn})"
+    return F.expr(f"{s} * ({s} + 1) div 2 + {turn}")
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a null instruction or output cannot form an example: send them aside."""
     bad = F.col("instruction").isNull() | F.col("output").isNull()
@@ -58,7 +67,7 @@ def instructions_from_conversations(conversations: DataFrame) -> DataFrame:
     pairs = user.join(asst, ["conv_id", "u_turn"], "inner").join(system, ["conv_id", "u_turn"], "left")
     has_sys = F.coalesce(F.col("has_sys"), F.lit(False))
     return pairs.select(
-        (F.col("conv_id") * 1000 + F.col("u_turn")).cast("long").alias("id"),
+        row_id("conv_id", "u_turn").cast("long").alias("id"),
         F.when(has_sys, F.col("s_text")).otherwise(F.col("u_text")).alias("instruction"),
         F.when(has_sys, F.col("u_text")).otherwise(F.lit("")).alias("input"),
         F.col("a_text").alias("output"),

@@ -65,7 +65,7 @@ def test_mean_of_means_vs_weighted(spark):
     b = AD.batch_divergence(pos, ["batch_no"])
     mm = {r["metric"]: r["value"] for r in AD.evaluate(b).collect()}
     wm = {r["metric"]: r["value"] for r in AD.evaluate(b, weighted=True).collect()}
-    assert abs(mm["reverse_kl"] - 0.5) < 1e-12 and abs(wm["reverse_kl"] - 0.1) < 1e-12
+    assert abs(mm["reverse_kl"] - 0.5) < 1e-12 and abs(wm["weighted_reverse_kl"] - 0.1) < 1e-12
 
 
 def test_preaggregated_equals_direct(spark):

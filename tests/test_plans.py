@@ -3,6 +3,7 @@
 import __spark_entry__ as E
 from tests.conftest import SF001, SF01
 from teachspark.operators import batching as B
+from teachspark.plans.queries import QUERIES as PLAN_QUERIES
 
 
 def _plan(df):
@@ -13,8 +14,8 @@ def test_entry_and_contract(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) >= 3 and set(df.columns) == {"split", "metric", "value", "n_batches"}
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q) and set(q) - set(o) == {"distill_loss_curve"}
+    q, o, own = E.queries(), E.oracle_sql(), set(PLAN_QUERIES)
+    assert own <= set(q) and set(o) <= set(q) and own - set(o) == {"distill_loss_curve"}
 
 
 def test_fixture_counts(spark):

@@ -1,7 +1,10 @@
 """S1 adapter edge rows, rejects, and plug-in tokenizer parity."""
 
+import pytest
+
 from teachspark.operators.tokenize import PluginTokenizer, Vocabulary, tokenize, tokenize_with
-from teachspark.sources.instructions import instructions_from_conversations, split_rejects
+from teachspark.session import ensure_checkpoint_dir, input_signature
+from teachspark.sources.instructions import instructions_from_conversations, row_id, split_rejects
 
 
 def test_adapter_pairs_turns(spark):
@@ -14,13 +17,36 @@ def test_adapter_pairs_turns(spark):
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["id"]: (r["instruction"], r["input"], r["output"]) for r in instructions_from_conversations(conv).collect()}
     assert got == {
-        1001: ("Be brief.", "Hi", "Hello"),
-        1003: ("Bye", "", "Ciao"),
-        2000: ("Q1", "", "A1"),
-        3001: ("Q", "", "A"),
+        4: ("Be brief.", "Hi", "Hello"),
+        13: ("Bye", "", "Ciao"),
+        3: ("Q1", "", "A1"),
+        11: ("Q", "", "A"),
     }
 
 
+def test_ids_never_collide(spark):
+    rows = [(c, t) for c in range(40) for t in range(0, 3000, 37)] + [(10**9, 1000), (10**9 + 1, 0)]
+    df = spark.createDataFrame(rows, "conv_id long, u_turn long").select(row_id("conv_id", "u_turn").alias("id"))
+    assert df.distinct().count() == len(rows) and df.filter("id < 0").count() == 0
+
+
+def test_rewritten_input_changes_the_signature(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    before = input_signature(spark, path)
+    assert before == input_signature(spark, "file://" + path) and len(before) > 1
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert input_signature(spark, path) != before
+
+
+def test_cluster_without_shared_folder_is_refused():
+    class Session:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
 def test_rejects(spark):
     df = spark.createDataFrame(
         [(1, "i", "", "o"), (2, None, "", "o"), (3, "i", None, None)], "id long, instruction string, input string, output string"

@@ -93,6 +93,25 @@ def test_distill_loss_falls(spark, tmp_path):
     assert len(plan.splitlines()) <= 2 and "Relation" in plan
 
 
+def test_skipped_batches_do_not_move_the_optimizer(spark):
+    """With the first two batches skipped, the first real update has t = 1 and the schedule's first rate."""
+    W, teacher, pos = _tables(spark)
+    steps = pos.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("batch_no", F.col("step"))
+    cfg = TR.DistillConfig(steps=4, learning_rate=0.5, warmup_steps=4, schedule="constant_with_warmup", skip_batches=2, weight_decay=0.01, clip_norm=1e-3)
+    got, curve = TR.distill(spark, W, teacher, steps, cfg)
+    rows = curve.orderBy("step").collect()
+    assert [(r["step"], r["lr"]) for r in rows] == [(2, 0.0), (3, 0.125)]
+    # Two consecutive updates by hand: clipped, decayed, with moments carried over.
+    want = W
+    for t, lr in ((1, 0.0), (2, 0.125)):
+        g = TR.gradient(want, teacher, TR.context_weights(pos, 2))
+        norm = TR.grad_norm(g)
+        assert norm > cfg.clip_norm
+        want = TR.adamw(want, g, lr, 0.01, t, TR.clip_factor(norm, cfg.clip_norm))
+    a, b = ({(r["ctx"], r["tok"]): (r["logit"], r["m"], r["v"]) for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+
+
 def _manifest(spark, steps, final):
     rows = [("r", s, False, f"step-{s}") for s in steps] + ([("r", None, True, "step-final")] if final else [])
     return spark.createDataFrame(rows, "run_id string, step long, is_final boolean, path string")
