@@ -332,7 +332,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     found = estimated(hub_pairs(lists, percent), classes, percent, k)
     links = cut(verified(found, texts, words, percent), "minhash-links")
     component = cut(components(links, name="minhash-star"), "minhash-components")
-    more = estimated(finishing_pairs(lists, component, texts, words, percent), classes, percent, k)
+    # These pairs come from whole sets already, so an estimate would add nothing.
+    more = finishing_pairs(lists, component, texts, words, percent)
     links = links.unionByName(cut(verified(more, texts, words, percent), "minhash-more"))
     component = cut(components(links, name="minhash-star"), "minhash-components")
 
