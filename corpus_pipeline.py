@@ -2,9 +2,9 @@
 
 ``STAGES`` lists the stages; each takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read as the next one's ``docs``. All but the last return the columns of
-``documents``. Rows whose text is null or empty pass every filter; rows with a null id are neither
-near duplicates nor contaminated unless their own text is. Repeated rows share every decision, so
-copies of a kept document with the same id all stay.
+``documents``. Rows whose text is null or empty pass every filter. Each row is judged by its own
+text, whatever other rows have its id, or none. Repeated rows share every decision, so copies of a
+kept document with the same id all stay; of copies with null ids only, one stays.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from teachspark.llm import minhash
 from teachspark.llm.bytebpe import encode_texts
 from teachspark.llm.common import cut
 from teachspark.llm.decontam import drop_contaminated
-from teachspark.llm.minhash import near_duplicates
 from teachspark.llm.pii import redact
 from teachspark.llm.queries import vocabulary
 from teachspark.llm.toxicity import score_documents, train
@@ -33,8 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of documents linked by five-word shingles at similarity 0.8 or more, the one with the smallest id stays."""
-    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
+    return minhash.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,19 +291,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     word. The items are numbered and searched for in blocks of ``block``, each broadcast; texts are
     read once a block.
     """
-    spark = docs.sparkSession
+    out = None
+    for index in _indexes(benchmark, block):
+        part = _searched(docs, index, max_edits)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _indexes(benchmark: DataFrame, block: int) -> Iterator:
+    """The broadcast index of each block of items; one without items if there are none."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = items.count()
     blocks = max(1, -(-n // block))
-    out = None
     for number in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).distinct().collect() if n else []
         rows = sorted(((r["item_id"], normal(r["text"])) for r in mine), key=lambda x: (x[0] is None, x[0], x[1]))
         rows = [(i, t) for i, t in rows if t]
-        index = spark.sparkContext.broadcast(Index.build([i for i, _ in rows], [t for _, t in rows]))
-        part = _searched(docs, index, max_edits)
-        out = part if out is None else out.unionAll(part)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([i for i, _ in rows], [t for _, t in rows]))
 
 
 def _searched(docs: DataFrame, index, max_edits: float) -> DataFrame:
@@ -322,7 +326,20 @@ def _searched(docs: DataFrame, index, max_edits: float) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item (rows with a null id are kept only if their text holds none)."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, block: int = BLOCK) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark item, whatever their ids: null and repeated ids decide nothing."""
+    for index in _indexes(benchmark, block):
+        docs = docs.where(~_holds(index, max_edits)("text"))
+    return docs
+
+
+def _holds(index, max_edits: float):
+    """A column function: whether a text holds an item of the index."""
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        searcher = Searcher(index.value, max_edits)
+        for batch in batches:
+            yield pd.Series([bool(m) for m in searcher.search([t if isinstance(t, str) else "" for t in batch])], dtype=bool)
+
+    return holds

@@ -309,15 +309,8 @@ def around_hubs(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id, kept``.
-
-    Documents are linked when 100 * intersection >= percent * union of their sets of ``words``-word
-    shingles (with fewer words, the whole sequence is one; without any, the set is empty and links
-    nothing). ``component_id`` is the smallest doc_id reachable, ``kept`` marks the documents that
-    have it. A null doc_id has a null component and is kept; it still links others. Repeated rows
-    get equal results. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, ``tid`` (a hash of the text), n (shingles) and ``place``, equal for linked rows and null for empty sets."""
     rows = cut(sketches(docs, words, k), "minhash-sketches")
     # One row a class; its least doc_id names the row whose text stands for it.
     classes = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid", "n", "sketch")).alias("x"))
@@ -337,9 +330,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     links = links.unionByName(cut(verified(more, texts, words, percent), "minhash-more"))
     component = cut(components(links, name="minhash-star"), "minhash-components")
 
-    placed = rows.select("doc_id", "n", "key").join(component.select(F.col("node").alias("key"), "component"), "key", "left")
+    placed = rows.select("doc_id", "tid", "n", "key").join(component.select(F.col("node").alias("key"), "component"), "key", "left")
     place = F.when(F.col("n") == 0, F.lit(None)).otherwise(F.coalesce("component", "key"))
-    placed = placed.withColumn("place", place)
+    return placed.select("doc_id", "tid", "n", place.alias("place"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id, kept``.
+
+    Documents are linked when 100 * intersection >= percent * union of their sets of ``words``-word
+    shingles (with fewer words, the whole sequence is one; without any, the set is empty and links
+    nothing). ``component_id`` is the smallest doc_id reachable, ``kept`` marks the documents that
+    have it. A null doc_id has a null component and is kept; it still links others. Repeated rows
+    get equal results. An empty table gives an empty result.
+    """
+    placed = _placed(docs, words, percent, k).drop("tid")
     least = placed.where("place is not null").groupBy("place").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1").select("place", "least")
     out = placed.join(least, "place", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """``docs`` without near duplicates: of linked rows those stay that have the smallest id and, under it, one text.
+
+    Each row is judged by its own text, so texts that share an id are dropped or kept apart. Repeated
+    rows (one id and text) share the decision. Rows with a null id come after all others; where only
+    such rows are linked, one row stays. Texts without a word stay.
+    """
+    placed = _placed(docs, words, percent, k).where("place is not null")
+    mine = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
+    first = placed.groupBy("place").agg(F.min(mine).alias("first"), F.count("*").alias("members")).where("members > 1").select("place", "first")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tid") == F.col("first.tid")))
+    gone = cut(placed.join(first, "place").where(other).select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__gone")).distinct(), "minhash-gone")
+
+    rows = docs.withColumn("__tid", F.xxhash64("text"))
+    named = rows.where("doc_id is not null").join(gone.where("__doc is not null"), (F.col("doc_id") == F.col("__doc")) & (F.col("__tid") == F.col("__gone")), "left_anti")
+    unnamed = rows.where("doc_id is null")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = unnamed.where(worded).dropDuplicates(["__tid"]).join(gone.where("__doc is null"), F.col("__tid") == F.col("__gone"), "left_anti")
+    return named.unionByName(one).unionByName(unnamed.where(~worded)).select(*docs.columns)

@@ -82,3 +82,32 @@ def test_whole_run_on_given_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert 0 < out.count() < docs.count() and out.join(docs, "doc_id", "left_anti").count() == 0
     assert "corpus_pipeline" in sys.modules
+
+
+def test_null_and_repeated_ids_are_judged_by_their_text(spark, planted):
+    """Null and repeated ids beside leaks and copies: each row goes or stays by its own text."""
+    folder = planted[0]
+    rng = random.Random(4)
+    words = [a + b for a in "qua zor fli gre pon".split() for b in "dak mel tis rup von".split()]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    clean = {name: prose(40) for name in ("null 1", "null 2", "seven", "eight", "nulls", "copies", "family")}
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def run(stage, rows):
+        docs = spark.createDataFrame([(d, t, "en", "a", None) for d, t in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, folder).collect()), key=str)
+
+    leak = f"{prose(20)} {item} {prose(20)}"
+    stay = [(None, clean["null 1"]), (None, clean["null 2"]), (7, clean["seven"]), (None, None), (None, "")]
+    assert run(P.drop_leaks, [*stay, (None, leak), (7, leak), (9, leak)]) == sorted(stay, key=str)
+
+    # Id 8 is a copy of 3 once, and once a text of its own; copies without an id leave one, or none beside a named one.
+    near = clean["family"] + " more"
+    rows = [(3, clean["copies"]), (8, clean["copies"]), (8, clean["eight"]), (None, clean["copies"]), (None, None), (None, ""), (None, ""), (None, clean["null 1"])]
+    rows += [(None, clean["nulls"])] * 3 + [(None, clean["nulls"].upper()), (5, clean["family"]), (5, near), (6, near)]
+    out = run(P.drop_near_duplicates, rows)
+    kept = [(d, t) for d, t in out if d == 5 or (t or "").lower() == clean["nulls"]]
+    assert len([x for x in kept if x[0] == 5]) == 1 and len([x for x in kept if x[0] is None]) == 1
+    rest = [(3, clean["copies"]), (8, clean["eight"]), (None, clean["null 1"]), (None, None), (None, ""), (None, "")]
+    assert sorted((x for x in out if x not in kept), key=str) == sorted(rest, key=str)
