@@ -34,6 +34,8 @@ WALKS, ANCHORS, STEPS, SAMPLED = 3, 16, 30, 14
 PIECE, PIECE_EDITS = 64, 0.4
 #: Items that are hashed, broadcast and searched for at a time, and characters of text that are walked at a time.
 BLOCK, CHUNK = 20_000, 1 << 20
+#: Characters that the pieces of a long text overlap by: a collision near a border is whole, with what is aligned, in one of them.
+OVERLAP = 2 * (PIECE + STEPS)
 #: Bits of the first test of a hash.
 SIEVE = 22
 
@@ -199,9 +201,9 @@ class Searcher:
             sieve[(keys >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
             self.sieves.append(sieve)
 
-    def candidates(self, code: np.ndarray) -> set[tuple[int, int]]:
-        """``(position an item would begin at, item)`` of every collision whose piece of the item is near."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, code: np.ndarray) -> set[tuple[int, int, int]]:
+        """``(position, item, offset in the item)`` of every collision whose piece of the item is near."""
+        found: set[tuple[int, int, int]] = set()
         at, item = [], []
         starts = words_at(code)
         for walk, sieve, keys, items, offsets in zip(self.walks, self.sieves, self.index.keys, self.index.items, self.index.offsets, strict=True):
@@ -227,18 +229,18 @@ class Searcher:
             pieces = np.where(inside, self.text[np.minimum(begin[:, None] + np.arange(PIECE), len(self.text) - 1)], 0xFFFFFFFF)
             edits = piece_edits(code, np.maximum(place - shift, 0), pieces, sizes)
             near = edits <= PIECE_EDITS * sizes
-            found.update(zip((place - offset)[near].tolist(), number[near].tolist(), strict=True))
+            found.update(zip(place[near].tolist(), number[near].tolist(), offset[near].tolist(), strict=True))
         return found
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its matches ``(item, start, end, edits)``: the best window of each item, offsets in the normal form."""
         out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
         norm = [normal(t) for t in texts]
-        # Walk many texts as one, a space between them, and long ones in pieces that overlap by a walk.
+        # Walk many texts as one, spaces between them, and long ones in pieces that overlap.
         group, size = [], 0
         for i, t in enumerate(norm):
             for a in range(0, len(t), CHUNK):
-                piece = t[a : a + CHUNK + STEPS]
+                piece = t[a : a + CHUNK + OVERLAP]
                 group.append((i, a, piece))
                 size += len(piece)
                 if size >= CHUNK:
@@ -256,13 +258,11 @@ class Searcher:
         begins = np.cumsum([0] + [len(p) + STEPS + 1 for _, _, p in group])
         code = codes("".join(p + " " * (STEPS + 1) for _, _, p in group))
         spots: dict[tuple[int, int], list[int]] = {}
-        for at, item in self.candidates(code):
-            g = int(np.searchsorted(begins, max(at, 0), side="right")) - 1
-            # A window may begin before its piece; the collision itself lies in the piece it came from.
-            i, a, _ = group[min(g, len(group) - 1)]
-            spots.setdefault((i, item), []).append(a + at - int(begins[g]))
-            if at < begins[g] + STEPS and g and group[g - 1][0] != i:
-                spots.setdefault((group[g - 1][0], item), []).append(group[g - 1][1] + at - int(begins[g - 1]))
+        for place, item, offset in self.candidates(code):
+            # The collision lies in the piece it came from; the item may begin before that piece, or before its text.
+            g = int(np.searchsorted(begins, place, side="right")) - 1
+            i, a, _ = group[g]
+            spots.setdefault((i, item), []).append(max(0, a + place - int(begins[g]) - offset))
         for (i, item), places in spots.items():
             pattern = self.index.texts[item]
             limit = int(self.max_edits * len(pattern))

@@ -2,7 +2,7 @@
 
 import random
 
-from teachspark.llm.decontam import Index, Searcher, best_window, contaminated, drop_contaminated, normal
+from teachspark.llm.decontam import CHUNK, Index, Searcher, best_window, contaminated, drop_contaminated, normal
 
 WORDS = [a + b for a in "th er on an re he in ed nd ha".split() for b in "at en es of or nt ea ti to it".split()]
 
@@ -71,3 +71,35 @@ def test_table_and_edges(spark, edge_docs, no_docs):
     assert [r.doc_id for r in drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 4, 5]
     assert {(r.doc_id, r.item_id) for r in contaminated(edge_docs, bench).collect()} == {(4, 6)}
     assert contaminated(no_docs, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_texts_that_begin_with_a_cut_item():
+    """Several texts in one batch, each an item without its first word or characters: all anchors lie behind the cut."""
+    rng = random.Random(5)
+    items = [prose(rng, n) for n in (10, 12, 20, 30, 45, 80)]
+    search = Searcher(Index.build(list(range(6)), [normal(t) for t in items]), 0.2)
+    for cut in (lambda t: t.split(" ", 1)[1], lambda t: t[2:], lambda t: t[8:]):
+        texts = [prose(rng, 9), *map(cut, items), prose(rng, 30)]
+        assert [[m[0] for m in f] for f in search.search(texts)] == [[], [0], [1], [2], [3], [4], [5], []]
+        assert [[(m[0], m[1]) for m in f] for f in search.search(texts)][1:-1] == [[(i, 0)] for i in range(6)]
+
+
+def test_items_across_the_border_of_a_piece():
+    rng = random.Random(6)
+    items = [prose(rng, n) for n in (8, 12, 40)]
+    search = Searcher(Index.build([0, 1, 2], [normal(t) for t in items]), 0.2)
+    filler = normal(prose(rng, CHUNK // 5 + 100))[: CHUNK - 1].strip()
+    for number, item in enumerate(items):
+        for before in (0, len(item) // 4, len(item) // 2, 3 * len(item) // 4, len(item) - 2):
+            # The item begins ``before`` characters in front of the border, edited in its first word.
+            text = f"{filler[: CHUNK - before - 1].ljust(CHUNK - before - 1, 'z')} zz{item[2:]} {prose(rng, 40)}"
+            found = search.search([prose(rng, 5), text])
+            assert [[m[0] for m in f] for f in found] == [[], [number]] and found[1][0][3] == 2
+            assert abs(found[1][0][1] - (CHUNK - before)) <= 2
+    # Only the part behind the border is whole enough to collide.
+    item = normal(prose(rng, 30))
+    search = Searcher(Index.build([0], [item]), 0.2)
+    worn = "".join("q" if i < 100 and i % 4 == 0 else c for i, c in enumerate(item))
+    text = f"{filler[: CHUNK - 71].ljust(CHUNK - 71, 'z')} {worn} {prose(rng, 40)}"
+    ((_, start, stop, edits),) = search.search([text])[0]
+    assert edits == distance(item, worn) == distance(item, normal(text)[start:stop])
