@@ -14,8 +14,9 @@ moves for ``degree`` scores. A query that is itself a node starts at its own pla
 entry nodes. It ends when its beam holds nothing new.
 
 Equal vectors are one node: a vector that a third of all rows share is a node like any other, and
-answers list the smallest ids of its rows. Vectors travel as bytes (half precision between nodes; the
-scores returned are computed on the original vectors in double precision).
+answers list the smallest ids of its rows. Vectors travel as bytes: each is scaled by its own largest
+component, kept in single precision, and carries that factor along. The scores returned are computed
+on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -41,13 +42,16 @@ BEAM, OPEN, STEPS = 192, 96, 12
 ENTRIES = 64
 
 
-def _matrix(cells) -> np.ndarray:
-    """Vectors that travel as half-precision bytes, as rows of a float32 matrix."""
-    return np.frombuffer(b"".join(cells), np.float16).reshape(len(cells), -1).astype(np.float32)
+def _matrix(cells) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that travel as bytes: rows of a float32 matrix, their largest components 1, and the factors that they were divided by."""
+    raw = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
+    return np.ascontiguousarray(raw[:, 8:]).view(np.float32), np.ascontiguousarray(raw[:, :8]).view(np.float64)[:, 0]
 
 
-def _half(x: np.ndarray) -> bytes:
-    return x.astype(np.float16).tobytes()
+def _packed(x: np.ndarray, top: float) -> bytes:
+    """The factor (the vector's largest component over ``top``, the table's) and the vector without it."""
+    largest = float(np.abs(x).max())
+    return np.float64(largest / top).tobytes() + (x / largest).astype(np.float32).tobytes()
 
 
 def usable(rows: DataFrame, vec: str, id_: str) -> DataFrame:
@@ -59,8 +63,8 @@ def usable(rows: DataFrame, vec: str, id_: str) -> DataFrame:
     return good.where(F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"))
 
 
-def nodes_of(rows: DataFrame, vec: str, id_: str, keep: int, scale: float = 1.0) -> DataFrame:
-    """One row for each different usable vector: node (its least id), ``vec`` (half-precision bytes of it times ``scale``), exact, ``ids`` (the ``keep`` least ids)."""
+def nodes_of(rows: DataFrame, vec: str, id_: str, keep: int, top: float = 1.0) -> DataFrame:
+    """One row for each different usable vector: node (its least id), ``vec`` (its bytes, see :func:`_packed`), exact, ``ids`` (the ``keep`` least ids)."""
     good = usable(rows, vec, id_)
     # The least ids of a hot vector: first those of each hash part, then of all, so no task holds a third of the rows.
     part = good.distinct().groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, keep).alias("ids"))
@@ -69,7 +73,7 @@ def nodes_of(rows: DataFrame, vec: str, id_: str, keep: int, scale: float = 1.0)
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             v = [np.asarray(x, np.float64) for x in batch["v"]]
-            yield pd.DataFrame({"node": [x[0] for x in batch["ids"]], "vec": [_half(x * scale) for x in v], "exact": [x.tobytes() for x in v], "ids": batch["ids"]})
+            yield pd.DataFrame({"node": [x[0] for x in batch["ids"]], "vec": [_packed(x, top) for x in v], "exact": [x.tobytes() for x in v], "ids": batch["ids"]})
 
     return whole.mapInPandas(pack, "node long, vec binary, exact binary, ids array<long>")
 
@@ -114,7 +118,7 @@ def best_of(found: DataFrame, k: int, parts: int) -> DataFrame:
         return pd.DataFrame({"node": node[starts], "near": [near[a:b] for a, b in pairs], "scores": [score[a:b] for a, b in pairs], "new": [new[a:b] for a, b in pairs]})
 
     sorted_ = found.select("node", "near", "score", "new").repartition(parts, "node").sortWithinPartitions("node")
-    return sorted_.mapInPandas(merge, "node long, near array<long>, scores array<float>, new array<int>")
+    return sorted_.mapInPandas(merge, "node long, near array<long>, scores array<double>, new array<int>")
 
 
 def _pairs(graph: DataFrame) -> DataFrame:
@@ -127,7 +131,7 @@ def block_pairs(nodes: DataFrame, n: int, number: int, k: int) -> DataFrame:
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = _matrix(batch["vec"].tolist())
+            x, _ = _matrix(batch["vec"].tolist())
             normal = np.random.default_rng(7000 + number).standard_normal((x.shape[1], max(planes, 1))).astype(np.float32)
             code = ((x @ normal > 0)[:, :planes] @ (1 << np.arange(planes, dtype=np.int64))) if planes else np.zeros(len(x), np.int64)
             yield pd.DataFrame({"side": code, "node": batch["node"], "vec": batch["vec"]})
@@ -137,13 +141,13 @@ def block_pairs(nodes: DataFrame, n: int, number: int, k: int) -> DataFrame:
     coded = coded.join(sizes, "side").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(number)), "pieces"))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _matrix(pdf["vec"].tolist()), pdf["node"].to_numpy()
+        (x, factor), ids = _matrix(pdf["vec"].tolist()), pdf["node"].to_numpy()
         out = []
         m = min(k, len(ids) - 1)
         if m <= 0:
             return pd.DataFrame({"node": [], "near": [], "score": [], "new": []})
         for a in range(0, len(ids), 512):
-            score = x[a : a + 512] @ x.T
+            score = (x[a : a + 512] @ x.T) * factor  # without the node's own factor, which orders nothing
             rows = np.arange(len(score))
             score[rows, a + rows] = -np.inf
             top = np.argpartition(-score, m - 1, axis=1)[:, :m]
@@ -151,7 +155,7 @@ def block_pairs(nodes: DataFrame, n: int, number: int, k: int) -> DataFrame:
         node, near, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"node": node, "near": near, "score": score, "new": np.ones(len(node), np.int32)})
 
-    return coded.groupBy("side", "piece").applyInPandas(nearest, "node long, near long, score float, new int")
+    return coded.groupBy("side", "piece").applyInPandas(nearest, "node long, near long, score double, new int")
 
 
 def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number: int) -> DataFrame:
@@ -176,8 +180,8 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number
                 near, new = np.asarray(near), np.asarray(new, bool)
                 if len(near) < 2 or not new.any():
                     continue
-                x = _matrix(list(vec))
-                score = x @ x.T
+                x, factor = _matrix(list(vec))
+                score = (x @ x.T) * factor
                 np.fill_diagonal(score, -np.inf)
                 score[np.ix_(~new, ~new)] = -np.inf  # two old members have met before
                 m = min(few, len(near) - 1)
@@ -189,7 +193,7 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number
                 node, near, value = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pd.DataFrame({"node": node, "near": near, "score": value, "new": np.ones(len(node), np.int32)})
 
-    return rows.mapInPandas(join, "node long, near long, score float, new int")
+    return rows.mapInPandas(join, "node long, near long, score double, new int")
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
@@ -227,7 +231,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
     begin = queries.where("start is not null").select("query", "vec", F.array("start").alias("nodes"))
     begin = begin.unionByName(queries.where("start is null").select("query", "vec").join(F.broadcast(entries)).select("query", "vec", "nodes"))
     # A query's state: its vector, and its beam with the marks of what it opened.
-    state = begin.select("query", "vec", "nodes", F.expr("transform(nodes, x -> float(0))").alias("scores"), F.expr("transform(nodes, x -> 0)").alias("done"), F.col("nodes").alias("open"))
+    state = begin.select("query", "vec", "nodes", F.expr("transform(nodes, x -> double(0))").alias("scores"), F.expr("transform(nodes, x -> 0)").alias("done"), F.col("nodes").alias("open"))
     state = cut(state, "ann-state")
     for _ in range(steps):
         front = state.where(F.size("open") > 0).select("query", "vec", F.explode("open").alias("node"))
@@ -236,23 +240,24 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
             for batch in batches:
                 out_n, out_s = [], []
                 for vec, near, vecs in zip(batch["vec"], batch["near"], batch["vecs"], strict=True):
-                    value = _matrix(list(vecs)) @ _matrix([vec])[0]
+                    (x, factor), (q, _) = _matrix(list(vecs)), _matrix([vec])
+                    value = (x @ q[0]) * factor
                     out_n.append(np.asarray(near))
                     out_s.append(value)
                 yield pd.DataFrame({"query": batch["query"], "near": out_n, "value": out_s})
 
-        got = front.join(around, "node").mapInPandas(score, "query long, near array<long>, value array<float>")
+        got = front.join(around, "node").mapInPandas(score, "query long, near array<long>, value array<double>")
         got = got.groupBy("query").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("value")).alias("value"))  # opened * degree values
 
         def absorb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 cols = {c: [] for c in ("nodes", "scores", "done", "open")}
                 for nodes_, scores, done, open_, near, value in zip(*(batch[c] for c in ("nodes", "scores", "done", "open", "near", "value")), strict=True):
-                    nodes_, scores, done = np.asarray(nodes_, np.int64), np.asarray(scores, np.float32), np.asarray(done, np.int64)
+                    nodes_, scores, done = np.asarray(nodes_, np.int64), np.asarray(scores, np.float64), np.asarray(done, np.int64)
                     done = done | np.isin(nodes_, np.asarray(open_, np.int64))
                     if near is not None and len(near):
                         near, at = np.unique(np.asarray(near, np.int64), return_index=True)
-                        value = np.asarray(value, np.float32)[at]
+                        value = np.asarray(value, np.float64)[at]
                         fresh = ~np.isin(near, nodes_)
                         # A node of the beam may get its score here (a starting node has none before).
                         where = np.searchsorted(near, nodes_).clip(0, len(near) - 1)
@@ -267,7 +272,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
                     cols["open"].append(nodes_[done == 0][:opened])
                 yield pd.DataFrame({"query": batch["query"], "vec": batch["vec"]} | cols)
 
-        new = state.join(got, "query", "left").mapInPandas(absorb, "query long, vec binary, nodes array<long>, scores array<float>, done array<int>, open array<long>")
+        new = state.join(got, "query", "left").mapInPandas(absorb, "query long, vec binary, nodes array<long>, scores array<double>, done array<int>, open array<long>")
         new = cut(new, "ann-state")
         forget(state)
         state = new
@@ -286,12 +291,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec: str = "embedd
     sizes = rows.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     same = F.size(vec) == (sizes["dim"] if sizes else 0)
     rows, queries = rows.where(same), queries.where(same)
-    # All components within 1, so that half precision holds them.
-    largest = usable(rows, vec, id_).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0]
-    scale = 1.0 / largest if largest else 1.0
-    nodes = cut(nodes_of(rows, vec, id_, k + 1, scale), "ann-nodes")
+    # All factors within 1.
+    top = usable(rows, vec, id_).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0] or 1.0
+    nodes = cut(nodes_of(rows, vec, id_, k + 1, top), "ann-nodes")
     graph = build_graph(nodes)
-    ask = nodes_of(queries, vec, id_, 1, scale).select("vec", "exact").join(nodes.select(F.col("node"), F.col("exact").alias("e")), F.col("exact") == F.col("e"))
+    ask = nodes_of(queries, vec, id_, 1, top).select("vec", "exact").join(nodes.select(F.col("node"), F.col("exact").alias("e")), F.col("exact") == F.col("e"))
     ask = cut(ask.select(F.col("node").alias("query"), "vec", F.col("node").alias("start"), "exact"), "ann-queries")
     found = search_graph(nodes, graph, ask.select("query", "vec", "start"))
     found = found.unionByName(ask.select("query", F.col("query").alias("node"))).distinct()

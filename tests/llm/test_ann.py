@@ -46,3 +46,18 @@ def test_equal_vectors_ties_and_edges(spark):
     assert [(r.query_id, r.vec_id) for r in nearest(few, few, 20).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
     assert nearest(df.limit(0), df.limit(0), 5).count() == 0
     assert nearest(df, df.limit(0), 5).count() == 0
+
+
+def test_recall_beside_an_outlier(spark, monkeypatch):
+    """One row a hundred million times the others leaves their neighbours as they were."""
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((8, 24)), 100, axis=0) + rng.standard_normal((800, 24))
+    x[0] *= 1e8 / np.abs(x[0]).max()
+    x[1, 0] = 1e-6
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(rows, rows.where("vec_id % 20 = 0 or vec_id = 1"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(found & {v for _, v in brute(range(800), x, q, 10)}) for q, found in got.items())
+    assert set(got) == {1, *range(0, 800, 20)} and hits / (10 * len(got)) >= 0.9
