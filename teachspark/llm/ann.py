@@ -21,6 +21,7 @@ on the original vectors in double precision.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,12 @@ from .common import cut, forget
 
 #: Neighbours a node keeps, and members (neighbours and reverse neighbours) that a round joins at a node.
 DEGREE, SAMPLE = 24, 16
-#: Random blocks: how often, and rows in one at most.
-PASSES, BLOCK = 8, 8192
-#: Rounds of NN-descent at most, and the share of changed list entries below which they end.
-ROUNDS, STILL = 4, 0.02
-#: Nodes that a query's beam keeps, nodes it opens in a round, and rounds at most.
-BEAM, OPEN, STEPS = 192, 96, 12
+#: Random blocks: how often, rows in one at most, and rows below which a table isn't dealt over several.
+PASSES, BLOCK, ONE = 8, 8192, 256
+#: Rounds of NN-descent end when no more than this share of list entries changes.
+STILL = 0.02
+#: Nodes that a query's beam keeps, and nodes it opens in a round; rounds go on until every beam is opened.
+BEAM, OPEN = 192, 96
 #: Entry nodes for queries that are not nodes.
 ENTRIES = 64
 
@@ -125,9 +126,9 @@ def _pairs(graph: DataFrame) -> DataFrame:
     return graph.select("node", F.explode(F.arrays_zip("near", "scores", "new")).alias("x")).select("node", F.col("x.near").alias("near"), F.col("x.scores").alias("score"), F.lit(0).alias("new"))
 
 
-def block_pairs(nodes: DataFrame, n: int, number: int, k: int) -> DataFrame:
+def block_pairs(nodes: DataFrame, n: int, number: int, k: int, block: int) -> DataFrame:
     """Each node's nearest in its random block: blocks are what hyperplanes leave together, cut by a hash to a bounded size."""
-    planes = int(np.ceil(np.log2(n / (BLOCK / 2)))) if n > BLOCK else 0
+    planes = int(np.ceil(np.log2(n / (block / 2)))) if n > block else 0
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,7 +138,7 @@ def block_pairs(nodes: DataFrame, n: int, number: int, k: int) -> DataFrame:
             yield pd.DataFrame({"side": code, "node": batch["node"], "vec": batch["vec"]})
 
     coded = nodes.select("node", "vec").mapInPandas(sides, "side long, node long, vec binary")
-    sizes = coded.groupBy("side").agg(F.ceil(F.count("*") / BLOCK).alias("pieces"))  # at most n / (BLOCK / 2) rows
+    sizes = coded.groupBy("side").agg(F.ceil(F.count("*") / block).alias("pieces"))  # at most n / (block / 2) rows
     coded = coded.join(sizes, "side").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(number)), "pieces"))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,7 +174,6 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number
     rows = rows.select("m.near", "m.new", "m.vec")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        few = max(2, sample // 4)
         for batch in batches:
             out = []
             for near, new, vec in zip(batch["near"], batch["new"], batch["vec"], strict=True):
@@ -184,11 +184,8 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number
                 score = (x @ x.T) * factor
                 np.fill_diagonal(score, -np.inf)
                 score[np.ix_(~new, ~new)] = -np.inf  # two old members have met before
-                m = min(few, len(near) - 1)
-                top = np.argpartition(-score, m - 1, axis=1)[:, :m]
-                value = np.take_along_axis(score, top, 1).ravel()
-                ok = np.isfinite(value)
-                out.append((np.repeat(near, m)[ok], near[top].ravel()[ok], value[ok]))
+                one, other = np.nonzero(np.isfinite(score))
+                out.append((near[one], near[other], score[one, other]))
             if out:
                 node, near, value = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pd.DataFrame({"node": node, "near": near, "score": value, "new": np.ones(len(node), np.int32)})
@@ -196,28 +193,30 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number
     return rows.mapInPandas(join, "node long, near long, score double, new int")
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE) -> DataFrame:
     """The neighbour graph: ``node, near, scores, new``, neighbours from the nearest on. Each round is a written table."""
     spark = nodes.sparkSession
     n = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000 + 1)
     found = None
-    for number in range(PASSES if n > BLOCK else 1):
-        part = block_pairs(nodes, n, number, degree)
+    # Small tables are dealt over some four blocks too.
+    block = min(BLOCK, max(ONE, -(-n // 4)))
+    for number in range(PASSES if n > block else 1):
+        part = block_pairs(nodes, n, number, degree, block)
         found = part if found is None else found.unionByName(part)
     graph = cut(best_of(found, degree, parts), "ann-graph")
-    for number in range(rounds if n > BLOCK else 0):
+    for number in itertools.count():
         more = descend(nodes, graph, degree, sample, number).unionByName(_pairs(graph))
         new = cut(best_of(more, degree, parts), "ann-graph")
         forget(graph)
         graph = new
         changed = graph.agg(F.sum(F.aggregate("new", F.lit(0), lambda a, x: a + x)).alias("c")).first()["c"] or 0
-        if changed < STILL * degree * n:
+        if changed <= STILL * degree * n:
             break
     return graph
 
 
-def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int = OPEN, steps: int = STEPS) -> DataFrame:
+def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, opened: int = OPEN) -> DataFrame:
     """Greedy search for all queries ``(query, vec, start)``: ``query, node, score`` of the beam each ends with.
 
     ``start`` is the node a query begins at, or null for the entry nodes (the ``ENTRIES`` nodes of least hash).
@@ -233,7 +232,7 @@ def search_graph(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: i
     # A query's state: its vector, and its beam with the marks of what it opened.
     state = begin.select("query", "vec", "nodes", F.expr("transform(nodes, x -> double(0))").alias("scores"), F.expr("transform(nodes, x -> 0)").alias("done"), F.col("nodes").alias("open"))
     state = cut(state, "ann-state")
-    for _ in range(steps):
+    while True:
         front = state.where(F.size("open") > 0).select("query", "vec", F.explode("open").alias("node"))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

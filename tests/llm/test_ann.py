@@ -61,3 +61,19 @@ def test_recall_beside_an_outlier(spark, monkeypatch):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(found & {v for _, v in brute(range(800), x, q, 10)}) for q, found in got.items())
     assert set(got) == {1, *range(0, 800, 20)} and hits / (10 * len(got)) >= 0.9
+
+
+def test_small_tables_descend_until_lists_are_still(spark, monkeypatch):
+    """Rounds go on while many entries change, however many that takes, and small tables have them too."""
+    changes = []
+    descend = ann.descend
+    monkeypatch.setattr(ann, "PASSES", 2)
+    monkeypatch.setattr(ann, "ONE", 16)
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "descend", lambda *a: changes.append(a[-1]) or descend(*a))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 12))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = ann.build_graph(ann.nodes_of(rows, "embedding", "vec_id", 1), degree=8, sample=8)
+    changed = sum(sum(r.new) for r in graph.collect())
+    assert (changed <= ann.STILL * 8 * 600, len(changes) > 4) == (True, True), (changed, changes)
