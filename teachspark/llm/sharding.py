@@ -127,15 +127,19 @@ def hilbert_shards(
     return df.drop("__before", "__buckets", "__bucket", "__inside", "__place")
 
 
+def _measures() -> dict[str, Column]:
+    return {
+        "doc_id": F.col("doc_id"),
+        "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1,
+        "text_crc32": F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("bigint"),
+        "lang": F.col("lang"),
+        "source": F.col("source"),
+    }
+
+
 def document_measures(docs: DataFrame) -> DataFrame:
     """What sharding needs of documents: doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, lang and source."""
-    return docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1).alias("size"),
-        F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("bigint").alias("text_crc32"),
-        "lang",
-        "source",
-    )
+    return docs.select(*[c.alias(name) for name, c in _measures().items()])
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -149,6 +153,22 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write ``docs`` as one folder a shard, rows in slot order, so that file statistics prune by every dimension."""
-    joined = docs.join(sharded.select("doc_id", "shard", "slot"), "doc_id")
+    """Write ``docs`` as one folder a shard, rows in slot order, so that file statistics prune by every dimension.
+
+    ``sharded`` is what :func:`shard_documents` gives for these rows. Ids may be null or repeated: rows
+    are matched by all that was measured, and rows equal in that by their number among them, so each
+    is written once.
+    """
+    keys = ["doc_id", "size", "text_crc32", *[c for c in ("lang", "source") if c in docs.columns]]
+    number = lambda by, *order: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    measures = _measures()
+    mine = [f"__m{i}" for i in range(len(keys))]
+    rows = docs.withColumns({m: measures[k] for m, k in zip(mine, keys, strict=True)}).withColumn("__number", number(mine, F.xxhash64(*docs.columns)))
+    there = [f"__s{i}" for i in range(len(keys))]
+    slots = sharded.select(*[F.col(k).alias(t) for k, t in zip(keys, there, strict=True)], F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    slots = slots.withColumn("__nth", number(there, "__shard", "__slot"))
+    match = F.col("__number") == F.col("__nth")
+    for m, t in zip(mine, there, strict=True):
+        match &= F.col(m).eqNullSafe(F.col(t))
+    joined = rows.join(slots, match).select(*[c for c in docs.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
     joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

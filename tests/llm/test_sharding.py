@@ -49,3 +49,15 @@ def test_edges(spark, edge_docs, no_docs, tmp_path):
     named = edge_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     write_shards(named.select("doc_id", "text"), shard_documents(named), str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == named.count()
+
+
+def test_files_hold_rows_with_null_and_repeated_ids_once(spark, tmp_path):
+    rows = [(None, f"text {i}", "en", "a") for i in range(6)] + [(None, "copy", "en", None)] * 3 + [(1, f"t{i}", None, "b") for i in range(4)] + [(2, "same", "en", "b")] * 3
+    rows += [(3, "same", lang, "b") for lang in ("en", "de", None)] + [(None, None, None, None), (None, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for number, df in enumerate((docs, docs.select("doc_id", "text"))):
+        path = str(tmp_path / str(number))
+        write_shards(df, shard_documents(docs, 4), path)
+        out = spark.read.parquet(path)
+        assert sorted((tuple(r) for r in out.select(*df.columns).collect()), key=str) == sorted((tuple(r) for r in df.collect()), key=str)
+        law_holds(out.collect(), 4)
