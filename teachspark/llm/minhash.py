@@ -40,14 +40,15 @@ K = 64
 SIGMAS = 5.0
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
+#: Base of the polynomial that hashes a word.
+BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def _power_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    base = 0x9E3779B97F4A7C15 | 1
-    inverse = pow(base, -1, 1 << 64)
+    inverse = pow(BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(CHUNK, base, np.uint64))
+        up = np.cumprod(np.full(CHUNK, BASE, np.uint64))
         down = np.cumprod(np.full(CHUNK, inverse, np.uint64))
     return rng.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1), up, down
 
@@ -70,26 +71,37 @@ class Shingler:
         rng = np.random.default_rng(21)
         self.place = rng.integers(1, 2**63, max(2, words)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def _hash_words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first byte of each word of at most CHUNK bytes; a polynomial whose prefix sums give any word's."""
+    def _polynomials(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Polynomial, first byte and end of each word of at most CHUNK bytes; prefix sums give any word's."""
         code = np.frombuffer(data, np.uint8)
         gap = np.concatenate(([True], self.space[code], [True]))
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         start, stop = edge[::2], edge[1::2]
         total = np.concatenate(([np.uint64(0)], np.cumsum(self.letter[code] * self.up[: len(code)])))
-        return mix((total[stop] - total[start]) * self.down[start]), start
-
-    def _pieces(self, data: bytes) -> Iterator[bytes]:
-        """The text in pieces of at most CHUNK bytes, cut at white space; a longer word is hashed as its own pieces."""
-        at = 0
-        while at < len(data):
-            end = min(len(data), at + CHUNK)
-            if end < len(data):
-                back = np.flatnonzero(self.space[np.frombuffer(data, np.uint8, min(4096, end - at), max(at, end - 4096))])
-                if len(back):
-                    end = max(at, end - 4096) + int(back[-1]) + 1
-            yield data[at:end]
-            at = end
+        return (total[stop] - total[start]) * self.down[start], start, stop
+
+    def _hash_words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of each word of at most CHUNK bytes."""
+        value, start, _ = self._polynomials(data)
+        return mix(value), start
+
+    def _hash_long(self, data: bytes) -> np.ndarray:
+        """Hash of each word of a text of any length, in pieces of CHUNK bytes; a word's polynomial goes on over their borders."""
+        out, held, length = [], np.zeros(0, np.uint64), 0
+        for at in range(0, len(data), CHUNK):
+            piece = data[at : at + CHUNK]
+            value, start, stop = self._polynomials(piece)
+            size = stop - start
+            if length and len(value) and start[0] == 0:
+                value[0] = held[0] + np.uint64(pow(BASE, length, 1 << 64)) * value[0]
+                size[0] += length
+            else:
+                out.append(held)
+            held, length = np.zeros(0, np.uint64), 0
+            if len(value) and stop[-1] == len(piece):
+                held, length, value = value[-1:], int(size[-1]), value[:-1]
+            out.append(value)
+        return mix(np.concatenate([*out, held]))
 
     def _set(self, words: np.ndarray) -> np.ndarray:
         n = self.words
@@ -113,7 +125,7 @@ class Shingler:
                     size += len(data[end]) + 1
                     end += 1
                 if size > CHUNK:
-                    yield self._set(np.concatenate([self._hash_words(p)[0] for p in self._pieces(data[at])]))
+                    yield self._set(self._hash_long(data[at]))
                 else:
                     words, start = self._hash_words(b" ".join(data[at:end]))
                     limits = np.searchsorted(start, np.cumsum([len(d) + 1 for d in data[at:end]]))

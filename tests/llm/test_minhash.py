@@ -102,3 +102,17 @@ def test_pieces_change_no_set(monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", 1500)
     assert all(np.array_equal(a, b) for a, b in zip(whole, Shingler(3).sets(texts), strict=True))
     assert [len(s) for s in whole] == [len(shingles(t, 3)) for t in texts]
+
+
+def test_words_across_the_borders_of_pieces(monkeypatch):
+    """Texts over CHUNK with runs without white space: no word is cut, wherever the borders lie."""
+    run = "aZ09+/" * (minhash.CHUNK // 4)
+    texts = [run, f"one two {run} three four", f"{run} {run}x {run} end", f"{'w ' * (minhash.CHUNK // 2)}last {run}\n"]
+    assert all(len(t) > minhash.CHUNK for t in texts)
+    sets = [s.copy() for s in Shingler(3).sets(texts)]
+    assert [len(s) for s in sets] == [len(shingles(t, 3)) for t in texts]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["a", "Bc", "é", " ", "x" * 40, "y" * 9], k=rng.randint(0, 300))) for _ in range(40)]
+    whole = [s.copy() for s in Shingler(3).sets(texts)]
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, Shingler(3).sets(texts), strict=True))
