@@ -33,9 +33,15 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker (functions are unpickled anew for each task)."""
+def worker_cache(owner: object = None) -> dict:
+    """A dict that lives as long as the Python worker (functions are unpickled anew for each task).
+
+    It holds what one ``owner`` (a job's token, or any value compared by ``==``) has put there: when
+    another owner asks, what the last one left is let go, so a worker's memory doesn't grow from job to job.
+    """
     module = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
+    if module.__dict__.get("owner") != owner:
+        module.__dict__.update(owner=owner, values={})
     return module.__dict__.setdefault("values", {})
 
 
