@@ -9,7 +9,8 @@ from ..sources.tables import table
 from .ann import nearest
 from .bytebpe import count_tokens, encode_texts
 from .decontam import contaminated
-from . import licenses
+from . import licenses, lloyd, prefix_trie
+from .duckbpe import encode_ranks
 from .minhash import near_duplicates
 from .pii import KINDS, find_pii, spans_string
 from .sharding import shard_documents
@@ -18,14 +19,16 @@ from .warc import archive_pages
 
 #: The vocabulary file that the token queries use; operators take any path.
 VOCABULARY = "byte_bpe_50k.json"
+#: The rank file of the same vocabulary.
+RANKS = "byte_bpe_50k.tiktoken"
 #: Tokens above which ``over_limit`` holds.
 TOKEN_LIMIT = 1024
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +86,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")
 
 
+def op11_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_ranks(spark, docs, vocabulary(RANKS), keep_ids=False)
+    return out.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,8 +118,13 @@ QUERIES = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_lloyd_codes": op11_lloyd_codes,
+    "op12_duckdb_bpe": op12_duckdb_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.oracle_sql(),
+    "op11_lloyd_codes": lloyd.oracle_sql(),
+    "op13_prefix_trie": prefix_trie.oracle_sql(),
 }
