@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import bounded_batches, worker_cache
 
 #: Characters after which a slice of a text is cut at the next place where a pre-token must end.
 SLICE = 1 << 18
@@ -357,12 +358,14 @@ def _forget_long(memory: dict, pieces: list[list[str]]) -> None:
 
 def token_counter(spark: SparkSession, path: str):
     """A column function: tokens of a text under the vocabulary file at ``path`` (null and empty texts: 0)."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Tables(path))
+    job = uuid.uuid4().hex
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = shared.value
-        memory = worker_cache().setdefault(("token counts", path), {})
+        memory = worker_cache(job)
         split = splitter(tables.specials, tables.newer)
         work = lambda words: count_symbols(tables, words).tolist()
         for texts in batches:
@@ -402,13 +405,15 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, text: str = "t
 
     The decoded text is made from the ids alone. Null and empty texts have no ids.
     """
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Automaton(Tables(path)))
+    job = uuid.uuid4().hex
     kind = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string" + (",ids:binary>" if keep_ids else ">")
 
     @F.pandas_udf(kind)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = shared.value
-        memory = worker_cache().setdefault(("encodings", path), {})
+        memory = worker_cache(job)
         split = splitter(automaton.specials, automaton.newer)
         for texts in batches:
             rows = []

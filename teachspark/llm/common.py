@@ -45,6 +45,18 @@ def worker_cache(owner: object = None) -> dict:
     return module.__dict__.setdefault("values", {})
 
 
+#: Rows and bytes of a batch sent to a Python worker. Spark's own limits (10,000 rows, 64 MB) let a few tasks of long texts fill an executor.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to the above, unless they are lower."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        digits = "".join(c for c in spark.conf.get(key) if c.isdigit())
+        if not digits or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """Connected components of ``edges`` as ``(node, component)``, component being the least node reachable.
 

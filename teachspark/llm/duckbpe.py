@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import splitter, unassigned_letters
-from .common import worker_cache
+from .common import bounded_batches, worker_cache
 
 #: Words a generation of a worker's memory holds (there are two), and the longest word that it keeps (characters).
 REMEMBERED, LONGEST = 250_000, 64
@@ -249,6 +249,7 @@ def encode_ranks(spark: SparkSession, docs: DataFrame, path: str, text: str = "t
     decoded_sha256 of the bytes that the ids spell. Null and empty texts have no ids. Repeated rows
     are each encoded; other columns pass through, a column ``bpe`` is replaced; an empty table stays empty.
     """
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Ranks(read_ranks(path)))
     job = uuid.uuid4().hex
     kind = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string" + (",ids:array<long>>" if keep_ids else ">")
@@ -286,6 +287,7 @@ def decode_ranks(spark: SparkSession, rows: DataFrame, path: str, ids: str = "id
 
     Null where ids are null, hold a null, or an id that the vocabulary lacks; no ids spell no bytes.
     """
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Ranks(read_ranks(path)))
     job = uuid.uuid4().hex
 

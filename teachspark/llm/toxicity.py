@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 
 #: Labelled rows that the fit may use, and words of the lexicon.
 SAMPLE, LEXICON = 20_000, 2_000
@@ -133,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Rows repeated in either table count as often as they match. Fewer than one example of each
     class gives the model that scores everything 0.
     """
+    bounded_batches(docs.sparkSession)
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out("doc_id"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     examples = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null"), "toxic-sample")
@@ -183,6 +184,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
     Null and empty texts score 0. A column named ``toxicity`` is replaced; the others stay.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<score:double,predicted:int,offending:array<struct<start:int,stop:int,probability:double>>>")
