@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import bounded_batches, components, cut
 
 #: Values that a sketch retains.
 K = 64
@@ -146,7 +146,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     h = mix(s.astype(np.uint64) + np.uint64(0x1234567))
                     keys.append(int(mix(np.array([h.sum(dtype=np.uint64) ^ (np.uint64(len(s)) << np.uint64(40))]))[0] >> np.uint64(1)) if len(s) else 0)
-                least.append(s[:k])
+                least.append(s[:k].copy())  # a view would keep the whole set
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tid": batch["tid"], "n": n, "key": keys, "sketch": least})
 
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("tid")).mapInPandas(sketch, "doc_id string, tid long, n long, key long, sketch array<long>")
@@ -323,6 +323,7 @@ def around_hubs(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _placed(docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
     """Per row of ``docs``: doc_id, ``tid`` (a hash of the text), n (shingles) and ``place``, equal for linked rows and null for empty sets."""
+    bounded_batches(docs.sparkSession)
     rows = cut(sketches(docs, words, k), "minhash-sketches")
     # One row a class; its least doc_id names the row whose text stands for it.
     classes = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid", "n", "sketch")).alias("x"))
@@ -365,18 +366,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """``docs`` without near duplicates: of linked rows those stay that have the smallest id and, under it, one text.
 
-    Each row is judged by its own text, so texts that share an id are dropped or kept apart. Repeated
-    rows (one id and text) share the decision. Rows with a null id come after all others; where only
+    Each row is judged by its own text, so texts that share an id are dropped or kept apart. Of repeated
+    rows (one id and text) one stays. Rows with a null id come after all others; where only
     such rows are linked, one row stays. Texts without a word stay.
     """
-    placed = _placed(docs, words, percent, k).where("place is not null")
+    placed = cut(_placed(docs, words, percent, k).where("place is not null"), "minhash-placed")
     mine = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
     first = placed.groupBy("place").agg(F.min(mine).alias("first"), F.count("*").alias("members")).where("members > 1").select("place", "first")
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tid") == F.col("first.tid")))
     gone = cut(placed.join(first, "place").where(other).select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__gone")).distinct(), "minhash-gone")
 
     rows = docs.withColumn("__tid", F.xxhash64("text"))
+    twice = placed.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc"), F.col("tid").alias("__twice")).count().where("count > 1").drop("count")
     named = rows.where("doc_id is not null").join(gone.where("__doc is not null"), (F.col("doc_id") == F.col("__doc")) & (F.col("__tid") == F.col("__gone")), "left_anti")
+    again = (F.col("doc_id") == F.col("__doc")) & (F.col("__tid") == F.col("__twice"))
+    named = named.join(twice, again, "left_anti").unionByName(named.join(twice, again, "left_semi").dropDuplicates(["doc_id", "__tid"]))
     unnamed = rows.where("doc_id is null")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     one = unnamed.where(worded).dropDuplicates(["__tid"]).join(gone.where("__doc is null"), F.col("__tid") == F.col("__gone"), "left_anti")

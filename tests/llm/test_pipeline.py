@@ -68,10 +68,11 @@ def test_whole_run_on_planted_cases(spark, planted):
 def test_each_stage_keeps_columns_and_takes_edges(spark, planted, edge_docs):
     folder = planted[0]
     docs = edge_docs.withColumn("n_chars", F.length("text").cast("long"))
-    for _, stage in P.STAGES[:-1]:
+    for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
-        assert out.count() == docs.count()
+        # of the row that is there twice near-dedup leaves one
+        assert out.count() == docs.count() - (name == "minhash_near_dedup")
         assert stage(spark, docs.limit(0), folder).count() == 0
     last = P.STAGES[-1][1](spark, docs, folder)
     assert last.count() == docs.count() and "ids" in last.columns
