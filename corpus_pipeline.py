@@ -3,8 +3,8 @@
 ``STAGES`` lists the stages; each takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read as the next one's ``docs``. All but the last return the columns of
 ``documents``. Rows whose text is null or empty pass every filter. Each row is judged by its own
-text, whatever other rows have its id, or none. Repeated rows share every decision, so copies of a
-kept document with the same id all stay; of copies with null ids only, one stays.
+text, whatever other rows have its id, or none. Of repeated rows, and of copies with null ids only,
+near-dedup leaves one.
 """
 
 from __future__ import annotations
