@@ -146,6 +146,8 @@ def distill(
     snapshot_root: str | None = None,
     progress: Callable[[int, float, float, float], None] | None = None,
     work_dir: str | None = None,
+    log_root: str | None = None,
+    run_id: str = "run",
 ) -> tuple[DataFrame, DataFrame]:
     """The step loop. ``positions`` carries ``step, rank, ctx`` (and ``batch_no`` for skips).
 
@@ -156,18 +158,22 @@ def distill(
     are written to the shared folder and read back, so the plan never grows
     and a lost executor re-reads files instead of replaying earlier steps.
     With ``snapshot_root`` the parameters of each step are kept as S6
-    snapshots with a manifest.
+    snapshots with a manifest, and those after the last step are committed as ``final``.
+    With ``log_root`` each step's loss, gradient norm and rate are logged (S5),
+    exactly once per (run, step). Tables that no later step reads are deleted.
     """
     import uuid
 
     from ..session import shared_path
-    from ..sources.store import write_snapshot
+    from ..sources.publish import delete
+    from ..sources.store import commit_snapshot, log_metrics, write_snapshot
 
     work = work_dir or shared_path(spark, "distill", uuid.uuid4().hex)
     teacher = _written(teacher.select("ctx", "tok", "logp"), f"{work}/teacher")
     keep = ["step", "rank", "ctx"] + (["batch_no"] if cfg.skip_batches else [])
     positions = _written(positions.select(*keep), f"{work}/positions", partition_by="step")
-    W = _written(W0.select("ctx", "tok", "logit", "m", "v"), f"{work}/W-0")
+    held = f"{work}/W-0"
+    W = _written(W0.select("ctx", "tok", "logit", "m", "v"), held)
     curve = []
     # Skipped batches count as steps but move neither the optimizer's clock nor the schedule's.
     skipped = set()
@@ -194,8 +200,19 @@ def distill(
             W = spark.read.parquet(write_snapshot(new_W, snapshot_root, step + 1))
         else:
             W = _written(new_W, f"{work}/W-{step + 1}")
+        delete(spark, f"{work}/grad-{step}")
+        if held:
+            delete(spark, held)
+        held = None if snapshot_root else f"{work}/W-{step + 1}"
         curve.append((step, loss, norm, lr))
+        if log_root:
+            rows = [(run_id, step, 0, "train", name, value) for name, value in ((cfg.loss, loss), ("grad_norm", norm), ("lr", lr))]
+            log_metrics(spark.createDataFrame(rows, "run_id string, step long, rank int, phase string, metric string, value double"), log_root, run_id, step)
         if progress:
             progress(step, loss, norm, lr)
+    if snapshot_root:
+        commit_snapshot(W, snapshot_root, "final", run_id)
+    for name in ("teacher", "positions"):
+        delete(spark, f"{work}/{name}")
     schema = "step int, loss double, grad_norm double, lr double"
     return W, spark.createDataFrame(curve, schema)

@@ -468,8 +468,9 @@ def q_prepared_roundtrip(spark, sf):
     path = _run_dir(spark, sf, "prepared")
     from ..session import input_signature
 
-    prepared_or_build(spark, path, lambda: PL.examples(spark, sf), {"sf": sf, "pins": repr(P), "inputs": input_signature(spark, sf)})
-    parts = [read_prepared(spark, path, s) for s in ("train", "test")]
+    params = {"sf": sf, "pins": repr(P), "inputs": input_signature(spark, sf)}
+    prepared_or_build(spark, path, lambda: PL.examples(spark, sf), params)
+    parts = [read_prepared(spark, path, s, params) for s in ("train", "test")]
     df = parts[0].unionByName(parts[1])
     return df.groupBy("split").agg(
         F.count(F.lit(1)).cast("long").alias("n_rows"),

@@ -34,14 +34,13 @@ def materialized_path(spark: SparkSession, name: str, sf_dir: str, pins: Pins, b
     file instead of replaying the whole derivation.
     """
     from ..session import CODE_FINGERPRINT, derived_path, input_signature
-    from ..sources.store import fingerprint, prepared_or_build
+    from ..sources.store import fingerprint, prepared_path
 
     params = {
         "name": name, "sf": sf_dir, "inputs": input_signature(spark, sf_dir), "pins": repr(pins), "code": CODE_FINGERPRINT,
     }
     path = derived_path(spark, f"{name}-{fingerprint(params)[:16]}")
-    prepared_or_build(spark, path, build, params, split_col=None)
-    return path
+    return prepared_path(spark, path, build, params, split_col=None)
 
 
 def materialized(spark: SparkSession, name: str, sf_dir: str, pins: Pins, build) -> DataFrame:

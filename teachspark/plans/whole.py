@@ -6,8 +6,10 @@ conversations; they differ in corpus and smoothing. The sparse models share the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from ..operators import sparse_lm as SL
 from ..operators import train as TR
 from ..operators.filters import limit_batches
 from ..operators.prompts import build_examples
+from ..session import shared_path
+from ..sources import payloads as PA
+from ..sources import store as ST
 from ..sources.tables import table
 from . import stages as PL
 from .queries import csv, r6, r9
@@ -166,4 +171,56 @@ def q_evaluate_onpolicy(spark, sf):
     return m.select(MT.prefix_metric("val", "metric").alias("name"), r6("value").alias("value"), "n_ranks")
 
 
+# ---- payloads, logs, snapshots ---------------------------------------------------
+
+
+def payload_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent embeddings as the stored logits of a teacher (row k) and a student (row k + 1), eight positions an id."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("logits"))
+    key = lambda k: (F.expr(f"cast(floor({k} / 8) as long)").alias("id"), F.expr(f"cast(pmod({k}, 8) as int)").alias("pos"), "logits")
+    name = uuid.uuid4().hex
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sides = [
+        PA.store_payload(rows, f"payload_{side}_{name}", shared_path(spark, f"payload-{side}-{name}"), buckets)
+        for side, rows in (("teacher", e.select(*key("vec_id"))), ("student", e.select(*key("(vec_id - 1)"))))
+    ]
+    return PA.paired(*sides)
+
+
+def q_scores_divergence(spark, sf):
+    """S4 into A1-A6: a batch an id."""
+    b = AD.batch_divergence(PA.judged(payload_pairs(spark, sf)), ["id"])
+    return b.select("id", "n_positions", *[r6(c).alias(c) for c in AD.DIVERGENCES])
+
+
+def q_scores_rejects(spark, sf):
+    r = PA.rejects(payload_pairs(spark, sf))
+    return r.select("reason", F.col("n_positions").cast("long").alias("n_positions"))
+
+
+def q_metrics_log(spark, sf):
+    """Every event as a metric, one commit a run (event type); each commit is tried twice and counts once."""
+    root = shared_path(spark, f"metrics-log-{uuid.uuid4().hex}")
+    events = table(spark, sf, "events")
+    rows = MT.metrics_from_events(events).select(F.col("metric").alias("run_id"), "step", "rank", F.lit("train").alias("phase"), F.lit("value").alias("metric"), "value")
+    for (run,) in rows.select("run_id").distinct().collect():
+        for _ in range(2):
+            ST.log_metrics(rows.where(F.col("run_id").eqNullSafe(F.lit(run))), root, run, "all")
+    log = ST.read_log(spark, root)
+    return log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("step").alias("last_step"), r6(F.avg("value")).alias("mean_value"))
+
+
+def q_snapshot_log(spark, sf):
+    """The student's pair counts as snapshots of two steps and the final one, each committed twice; read back by the manifest."""
+    root = shared_path(spark, f"snapshots-{uuid.uuid4().hex}")
+    pairs = sparse_models(spark, sf, SMALL)[1].pairs
+    for step in (1, 2, "final", 1, 2, "final"):
+        ST.commit_snapshot(pairs, root, step)
+    parts = [
+        spark.read.parquet(r["path"]).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n")).select(F.lit(r["step"]).cast("long").alias("step"), F.lit(r["is_final"]).alias("is_final"), "n_rows", "n")
+        for r in ST.read_commits(spark, root).collect()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

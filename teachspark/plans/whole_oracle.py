@@ -157,4 +157,13 @@ QUERIES: dict[str, str] = {
     + f"""SELECT 'val/' || metric AS name, {r6('avg(v)')} AS value, count(*)::BIGINT AS n_ranks FROM (
             SELECT rank, metric, avg(v) AS v FROM (SELECT rank, unnest(['reverse_kl', 'forward_kl', 'jsd_p_q']) AS metric, unnest([kl_ts, kl_st, jsd_ref]) AS v FROM qx WHERE batch_no <= {P.eval_cap})
             GROUP BY rank, metric) GROUP BY metric""",
+    "scores_divergence": _with("epair_div")
+    + f"""SELECT (pair_id // 8)::BIGINT AS id, count(*)::BIGINT AS n_positions, {r6('avg(kl_ts)')} AS kl_ts, {r6('avg(kl_st)')} AS kl_st, {r6('avg(jsd_ref)')} AS jsd_ref
+          FROM epair_div GROUP BY pair_id // 8""",
+    "scores_rejects": """SELECT reason, count(*)::BIGINT AS n_positions FROM (
+          SELECT 'no_student' AS reason FROM embeddings t WHERE NOT EXISTS (SELECT 1 FROM embeddings s WHERE s.vec_id = t.vec_id + 1)
+          UNION ALL SELECT 'no_teacher' FROM embeddings s WHERE NOT EXISTS (SELECT 1 FROM embeddings t WHERE t.vec_id = s.vec_id - 1)) GROUP BY reason""",
+    "metrics_log": f"SELECT event_type AS run_id, count(*)::BIGINT AS n_rows, max(event_id // 10)::BIGINT AS last_step, {r6('avg(value)')} AS mean_value FROM events GROUP BY event_type",
+    "snapshot_log": whole(*corpus(P.n_words))
+    + "SELECT step, step IS NULL AS is_final, (SELECT count(*) FROM sp)::BIGINT AS n_rows, (SELECT sum(n) FROM sp)::BIGINT AS n FROM (VALUES (1::BIGINT), (2::BIGINT), (NULL)) x(step)",
 }
