@@ -45,8 +45,8 @@ SHAPES = {
 CONTEXT = 48
 #: A pattern needs so many distinct instances of a kind, and so large a share of its instances, to speak for the kind.
 SUPPORT, CONFIDENCE = 3, 0.8
-#: The noisy-or score from which a candidate is accepted, and the rounds of scoring.
-ACCEPT, ROUNDS = 0.9, 2
+#: The noisy-or score from which a candidate is accepted.
+ACCEPT = 0.9
 
 OCCURRENCE = "struct<kind:string,start:int,stop:int,value:string,before:string,after:string>"
 
@@ -71,19 +71,40 @@ def _valid(kind: str) -> str:
     }[kind]
 
 
+#: Elements that a running value is carried over at a time, and code points of a piece of text.
+BLOCK, PIECE = 256, 4096
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for a value that is computed once (a lambda would compute an outer expression at every element)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _before(numbers: str, add: str) -> str:
+    """SQL: for each of an array of integers what the ones before it add up to, from 0 on; ``add`` joins ``s`` and ``x``.
+
+    Appending to an array copies it, so the sums run in blocks: over the blocks' totals, then inside each. An array of n
+    costs n * BLOCK / 2 + (n / BLOCK)**2 / 2 copied integers instead of n**2 / 2.
+    """
+    none = "cast(array() as array<int>)"
+    run = lambda items, first, step: f"aggregate({items}, named_struct('at', {first}, 'out', {none}), (a, y) -> named_struct('at', {step}, 'out', concat(a.out, array(a.at)))).out"
+    total = "aggregate(y, a.at, (s, x) -> " + add + ")"
+    inside = run("b", "o", _let("named_struct('s', a.at, 'x', y)", "p", add.replace("s", "p.s").replace("x", "p.x") if add == "s + x" else "greatest(p.s, p.x)"))
+    blocks = f"if(size(z) = 0, cast(array() as array<array<int>>), transform(sequence(0, (size(z) - 1) div {BLOCK}), k -> slice(z, k * {BLOCK} + 1, {BLOCK})))"
+    return _let(numbers, "z", _let(blocks, "blocks", f"flatten(zip_with(blocks, {run('blocks', '0', total)}, (b, o) -> {inside}))"))
+
+
 def occurrences(text: str, pattern: str, kind: str, valid: str = "true") -> Column:
     """Matches of a pattern in a text column, leftmost and non-overlapping, as an array of ``OCCURRENCE`` (offsets in code points)."""
     found, gaps = f"regexp_extract_all({text}, {_literal(pattern)}, 0)", f"split({text}, {_literal(pattern)}, -1)"
+    lengths = "zip_with(f.found, slice(f.gaps, 1, size(f.found)), (m, g) -> char_length(m) + char_length(g))"
+    start = "at[i] + char_length(f.gaps[i])"
     one = (
-        f"named_struct('kind', '{kind}', 'start', a.at + char_length(x.g), 'stop', a.at + char_length(x.g) + char_length(x.m), "
-        f"'value', x.m, 'before', right(x.g, {CONTEXT}), 'after', left(x.n, {CONTEXT}))"
-    )
-    walk = (
-        f"aggregate(arrays_zip(f.found, f.gaps, slice(f.gaps, 2, size(f.gaps))), named_struct('at', 0, 'out', cast(array() as array<{OCCURRENCE}>)), "
-        f"(a, y) -> aggregate(array(named_struct('m', y.found, 'g', y.gaps, 'n', y.`2`)), a, (b, x) -> "
-        f"if(x.m is null, a, named_struct('at', a.at + char_length(x.g) + char_length(x.m), 'out', concat(a.out, array({one}))))), a -> a.out)"
+        f"named_struct('kind', '{kind}', 'start', {start}, 'stop', {start} + char_length(f.found[i]), "
+        f"'value', f.found[i], 'before', right(f.gaps[i], {CONTEXT}), 'after', left(f.gaps[i + 1], {CONTEXT}))"
     )
-    inner = f"transform(array(named_struct('found', {found}, 'gaps', {gaps})), f -> {walk})[0]"
+    rows = _let(_before(lengths, "s + x"), "at", f"transform(sequence(0, size(f.found) - 1), i -> {one})")
+    inner = _let(f"named_struct('found', {found}, 'gaps', {gaps})", "f", rows)
     return F.expr(f"case when {text} rlike {_literal(pattern)} then filter({inner}, o -> {valid}) else cast(array() as array<{OCCURRENCE}>) end")
 
 
@@ -104,24 +125,36 @@ def documents_spans(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, ``key`` (a hash of the text), base spans and candidates; written, so that texts are read once."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("key"), base_spans("text").alias("base"), occurrences("text", CANDIDATE, "").alias("candidates"))
-    apart = "filter(candidates, c -> not exists(base, b -> c.start < b.stop and b.start < c.stop))"
-    return cut(rows.select("doc_id", "key", "base", F.expr(apart).alias("candidates")), "pii-spans")
+    return cut(rows.select("doc_id", "key", "base", F.expr(_apart("base", "candidates")).alias("candidates")), "pii-spans")
 
 
-def discover(spans: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
+def _apart(base: str, candidates: str) -> str:
+    """SQL: the candidates that overlap no base span. Both are sorted as one by start: no base span before one may end
+    behind its start, none after it may begin before its end (seen from the other end, with negated places)."""
+    tagged = f"array_sort(concat(transform({candidates}, c -> named_struct('start', c.start, 'base', 0, 'stop', c.stop, 'o', c)), transform({base}, c -> named_struct('start', c.start, 'base', 1, 'stop', c.stop, 'o', c))))"
+    ends = _before("transform(r, e -> if(e.base = 1, e.stop, 0))", "greatest(s, x)")
+    # places behind the last end stand for no base span at all
+    far = "(2147483647 - e.start)"
+    begins = f"reverse({_before(f'reverse(transform(r, e -> if(e.base = 1, {far}, 0)))', 'greatest(s, x)')})"
+    kept = "transform(filter(r, (e, i) -> e.base = 0 and low[i] <= e.start and 2147483647 - high[i] >= e.stop), e -> e.o)"
+    return f"if(size({base}) = 0 or size({candidates}) = 0, {candidates}, {_let(tagged, 'r', _let(ends, 'low', _let(begins, 'high', kept)))})"
+
+
+def discover(spans: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
     """Candidate instances that confident patterns vouch for: ``(value, kind, score)``.
 
     ``spans`` is what :func:`documents_spans` gives. An instance is a candidate's text in lower
     case. Scores of equal instances are equal wherever they occur. Ties between kinds go to the
-    kind listed first. Without seeds or candidates the result is empty.
+    kind listed first. Rounds go on until one accepts nothing new (or, if given, for so many rounds);
+    what was accepted stays, with the score of its round. Without seeds or candidates the result is empty.
     """
     occ = spans.select(F.explode(F.concat("base", "candidates")).alias("o"))
     occ = occ.select(F.lower("o.value").alias("value"), F.nullif("o.kind", F.lit("")).alias("kind"), F.expr(f"explode({_contexts('o')})").alias("pattern"))
     # Contexts that are empty on the pattern's side say nothing.
     edges = cut(occ.where(F.trim(F.substring("pattern", 3, 2 * CONTEXT)) != "").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
     shape = F.coalesce(*[F.when(F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS])
-    accepted = None
-    for _ in range(rounds):
+    accepted, done = None, 0
+    while True:
         known = edges
         if accepted is not None:
             more = accepted.select("value", F.col("kind").alias("found"))
@@ -129,14 +162,20 @@ def discover(spans: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
         sums = known.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
         told = F.array(*[F.struct((F.col(k) / F.col("n")).alias("share"), F.col(k).alias("support"), F.lit(k).alias("for")) for k in KINDS])
         sure = sums.select("pattern", F.explode(told).alias("x")).where((F.col("x.support") >= support) & (F.col("x.share") >= confidence)).select("pattern", "x.share", "x.for")
-        vouched = edges.where("kind is null").withColumn("shape", shape).where("shape is not null").join(sure, "pattern").where(F.col("for") == F.col("shape"))
+        vouched = known.where("kind is null").withColumn("shape", shape).where("shape is not null").join(sure, "pattern").where(F.col("for") == F.col("shape"))
         # A share of 1 counts as just under 1, so that the logarithm exists.
         score = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-6)))))
         new = cut(vouched.groupBy("value", F.col("shape").alias("kind")).agg(score.alias("score")).where(F.col("score") >= accept), "pii-found")
-        if accepted is not None:
-            forget(accepted)
-        accepted = new
-    return accepted
+        done += 1
+        last = new.isEmpty() or done == rounds
+        if accepted is None:
+            accepted = new
+        elif not new.isEmpty():
+            accepted, old = cut(accepted.unionByName(new), "pii-accepted"), accepted
+            forget(old)
+            forget(new)
+        if last:
+            return accepted
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -169,10 +208,23 @@ def redact(docs: DataFrame) -> DataFrame:
     keep = found.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.concat("base", "added").alias("__spans")).distinct()
     joined = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = joined.join(keep, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
-    text = F.expr(
-        "case when __spans is null then text else aggregate(array_sort(transform(__spans, o -> struct(o.start, o.stop, o.kind))), "
-        "named_struct('at', 0, 'out', ''), (a, o) -> if(o.start >= a.at, "
-        "named_struct('at', o.stop, 'out', a.out || substr(text, a.at + 1, o.start - a.at) || '[' || upper(o.kind) || ']'), "
-        "named_struct('at', greatest(a.at, o.stop), 'out', a.out)), a -> a.out || substr(text, a.at + 1)) end"
-    )
-    return joined.withColumn("text", text).select(*docs.columns)
+    return joined.withColumn("text", F.expr(f"case when __spans is null then text else {_replaced('text', '__spans')} end")).select(*docs.columns)
+
+
+def _replaced(text: str, spans: str) -> str:
+    """SQL: the text with each span that begins behind all ends before it as its kind in brackets; the rest of overlapping ones goes too.
+
+    A substring counts code points from its string's beginning, so gaps are put together from pieces of PIECE code points.
+    """
+    order = f"array_sort(transform({spans}, o -> named_struct('start', o.start, 'stop', o.stop, 'kind', o.kind)))"
+    pieces = f"regexp_extract_all({text}, r'(?s).{{1,{PIECE}}}', 0)"
+
+    def part(a: str, b: str) -> str:
+        inside = f"substr(t[k], greatest({a} - k * {PIECE}, 0) + 1, least({b}, (k + 1) * {PIECE}) - greatest({a}, k * {PIECE}))"
+        return f"if({b} <= {a}, '', array_join(transform(sequence({a} div {PIECE}, ({b} - 1) div {PIECE}), k -> {inside}), ''))"
+
+    at = _before("transform(r, o -> o.stop)", "greatest(s, x)")
+    shown = _let(at, "at", f"transform(filter(sequence(0, size(r) - 1), i -> r[i].start >= at[i]), i -> {part('at[i]', 'r[i].start')} || '[' || upper(r[i].kind) || ']')")
+    # overlapping spans that aren't shown may end behind the ones that are
+    tail = _let("named_struct('a', array_max(transform(r, o -> o.stop)), 'b', n)", "q", part("q.a", "q.b"))
+    return _let(f"named_struct('r', {order}, 't', {pieces}, 'n', char_length({text}))", "v", _let("v.r", "r", _let("v.t", "t", _let("v.n", "n", f"array_join({shown}, '') || {tail}"))))

@@ -53,3 +53,54 @@ def test_redact_keeps_everything_else(spark, edge_docs):
     before, after = edge_docs.collect(), redact(edge_docs).collect()
     assert redact(edge_docs).columns == edge_docs.columns
     assert sorted(map(str, before)) == sorted(map(str, after))
+
+
+def test_texts_of_thousands_of_matches(spark):
+    """More matches than a block, of every kind, failing ones between them."""
+    import random
+
+    random.seed(7)
+    some = ["10.0.%d.7", "10.300.%d.7", "a%d@b.co", "+1 (234) 555-%04d", "4111 1111 1111 1111", "4111 1111 1111 %04d", "word%d", "é%d \U0001f600"]
+    texts = ["; ".join(s % i if "%" in s else s for i in range(n) for s in [random.choice(some)]) for n in (255, 256, 257, 3000)]
+    texts.append(" ".join(f"10.{i % 256}.{i // 256 % 256}.7" for i in range(20_000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = documents_spans(df).select("doc_id", "base", "candidates", spans_string("base").alias("s")).collect()
+    assert {r.doc_id: r.s for r in spans} == {i: brute(t) for i, t in enumerate(texts)}
+    for r in spans:
+        taken = set(p for o in r.base for p in range(o.start, o.stop))
+        assert all(texts[r.doc_id][c.start : c.stop] == c.value and not taken.intersection(range(c.start, c.stop)) for c in r.candidates)
+    out = {r.doc_id: r.text for r in redact(df).collect()}
+    assert out[4] == " ".join(["[IP]"] * 20_000)
+    for i, text in enumerate(texts):
+        found = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in brute(text).split(",")))
+        at, parts = 0, []
+        for a, b, k in found:
+            if a >= at:
+                parts.append(text[at:a] + f"[{k.upper()}]")
+            at = max(at, b)
+        assert out[i] == "".join(parts) + text[at:], i
+
+
+def test_candidates_apart_from_base_spans(spark):
+    from teachspark.llm.pii import OCCURRENCE, _apart
+
+    import random
+
+    random.seed(8)
+    one = lambda a, n: ("", a, a + n, "", "", "")
+    rows = [(i, [one(random.randrange(300), random.randrange(1, 9)) for _ in range(random.randrange(20))], [one(random.randrange(300), random.randrange(1, 12)) for _ in range(random.randrange(30))]) for i in range(60)]
+    df = spark.createDataFrame(rows, f"i int, base array<{OCCURRENCE}>, candidates array<{OCCURRENCE}>")
+    for r in df.selectExpr("i", f"{_apart('base', 'candidates')} as kept").collect():
+        _, base, candidates = rows[r.i]
+        want = [c for c in candidates if not any(c[1] < b[2] and b[1] < c[2] for b in base)]
+        assert sorted((o.start, o.stop) for o in r.kept) == sorted((c[1], c[2]) for c in want)
+
+
+def test_rounds_go_on_while_they_find_something(spark):
+    """Seeds stand behind 'alpha'; what 'alpha' vouches for also stands behind 'beta', and so on: one context a round."""
+    group = lambda k, n: [f"({k}12) 555-{i:04d}" for i in range(n)]
+    behind = {"alpha": [f"+1 (212) 555-{i:04d}" for i in range(100)] + group(3, 20), "beta": group(3, 20) + group(4, 5), "gamma": group(4, 5) + group(9, 1)}
+    rows = [f"call {name} {x} end{name}{i}" for name, numbers in behind.items() for i, x in enumerate(numbers)]
+    spans = documents_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    found = [{r.value for r in discover(spans, rounds=n).collect()} for n in (1, 2, None)]
+    assert found[0] == set(group(3, 20)) and found[1] - found[0] == set(group(4, 5)) and found[2] - found[1] == {"(912) 555-0000"}
