@@ -44,7 +44,7 @@ from .common import cut, forget
 #: Conversations that share a base, and the modulus of the number of turns taken from it.
 FAMILY, HEADS = 20, 4
 #: Nodes below which a subtree is left whole at least, and how many parts of all rows the limit is otherwise.
-LEAST, PIECES = 4096, 20_000
+LEAST, PIECES = 512, 20_000
 #: Width of the id runs whose members are joined to one string.
 RUN = 4096
 #: Rows of one Arrow batch that a task sends back.
