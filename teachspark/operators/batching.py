@@ -10,6 +10,7 @@ the same values.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from ..functions.arrays import pad_right
 from ..functions.hashing import fraction_threshold, keyed_md5
 
 MAX_BUCKETS = 1 << 16  # bound on anything broadcast by the index builders
+RADIX_DIGITS = 3       # hex digits that a pass of the exact split counts
+SORTED_ROWS = 100_000  # rows that the exact split sorts at most
 
 
 def split_train_test(
@@ -33,8 +36,9 @@ def split_train_test(
 
     Default: stateless, row-local test on the md5 prefix (works on streams).
     ``exact=True``: exactly ``ceil(frac * n)`` rows with the lowest (hash, id)
-    go to test; found from a bucket histogram and one boundary bucket, then
-    applied as a stateless comparison, with no join and no global sort.
+    go to test; found by refining the hash prefix until its bucket is small
+    (:func:`_boundary`), then applied as a stateless comparison, with no join
+    and no global sort.
     """
     h = keyed_md5(seed, id_col)
     if not exact:
@@ -42,21 +46,11 @@ def split_train_test(
             out_col, F.when(F.substring(h, 1, 8) < fraction_threshold(frac), "test").otherwise("train")
         )
     work = df.withColumn("__h", h)
-    # One pass: the bucket histogram (at most 4,096 rows) also gives n.
-    hist = work.groupBy(F.substring("__h", 1, 3).alias("b")).count().orderBy("b").collect()
-    n = sum(r["count"] for r in hist)
-    n_test = math.ceil(frac * n)
-    if n_test == 0:
+    prefix, need = _boundary(work.select("__h"), frac)
+    if not need:
         return df.withColumn(out_col, F.lit("train"))
-    seen = 0
-    boundary, need = None, 0
-    for r in hist:
-        if seen + r["count"] >= n_test:
-            boundary, need = r["b"], n_test - seen
-            break
-        seen += r["count"]
     last = (
-        work.filter(F.substring("__h", 1, 3) == boundary)
+        work.filter(F.col("__h").startswith(prefix))
         .select("__h", F.col(id_col).alias("__id"))
         .orderBy("__h", "__id")
         .limit(need)
@@ -69,6 +63,30 @@ def split_train_test(
     return work.withColumn(out_col, F.when(is_test, "test").otherwise("train")).drop("__h")
 
 
+def _boundary(hashes: DataFrame, frac: float) -> tuple[str, int]:
+    """The prefix of the hash at which ``ceil(frac * n)`` rows in hash order end, and how many of them lie under it.
+
+    Radix selection: each pass counts the next ``RADIX_DIGITS`` hex digits under the prefix so far (at most 4,096 counts),
+    until no more than ``SORTED_ROWS`` rows share the prefix, or the hash is used up: then they are one id's repeats.
+    """
+    prefix, need = "", None
+    while True:
+        under = hashes.filter(F.col("__h").startswith(prefix)) if prefix else hashes
+        digits = len(prefix) + RADIX_DIGITS
+        hist = under.groupBy(F.substring("__h", 1, digits).alias("b")).count().orderBy("b").collect()
+        if need is None:
+            need = math.ceil(frac * sum(r["count"] for r in hist))
+            if not need:
+                return prefix, 0
+        for r in hist:
+            if need <= r["count"]:
+                break
+            need -= r["count"]
+        prefix = r["b"]
+        if r["count"] <= SORTED_ROWS or len(prefix) >= 32:
+            return prefix, need
+
+
 def _dense_index(df: DataFrame, bucket: Column, order: list[Column], out_col: str, wide: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """idx = (rows in earlier buckets) + rank inside the bucket - 1.
 
@@ -119,29 +137,31 @@ def ordered_index(
 ) -> DataFrame:
     """B2 with ``shuffle=False``: dense index in id order.
 
-    Range buckets come from approximate quantiles of the id (a distributed
-    sketch; only the split points reach the driver), so buckets stay
-    balanced even when ids cluster. The bucket count follows the row count
-    (about ``rows_per_bucket`` rows each); a table that fits one bucket
-    skips the quantile pass.
+    Range partitions, split at sampled ids, keep buckets balanced even when ids
+    cluster; rows of one id are told apart by a hash of the row, so a repeated
+    id spreads over partitions too. The partitioned rows are written to the
+    shared folder (a second sampling would split elsewhere); a running sum of
+    the partitions' counts gives their offsets. Their number follows the row
+    count (about ``rows_per_bucket`` rows each); a table that fits one bucket
+    is sorted at once.
     """
     if n_buckets is None:
         n = df.count() if n is None else n
         n_buckets = math.ceil(n / rows_per_bucket) if n else 1
-    n_buckets = max(1, min(n_buckets, MAX_BUCKETS))
-    if n_buckets == 1:
+    if n_buckets <= 1:
         # One bucket of at most ``rows_per_bucket`` rows: its offset is 0, so no count job.
         w = Window.partitionBy(F.lit(0)).orderBy(F.col(id_col))
         return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("long"))
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(id_col, probs, 1.0 / (4 * n_buckets))
-    splits = [-math.inf] + sorted(set(float(q) for q in qs)) + [math.inf]
-    work = df.withColumn("__idd", F.col(id_col).cast("double"))
-    work = Bucketizer(splits=splits, inputCol="__idd", outputCol="__rb").transform(work)
-    out = _dense_index(work, F.col("__rb"), [F.col(id_col)], out_col)
-    return out.drop("__idd", "__rb")
+    from ..session import shared_path
+
+    spark = df.sparkSession
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind]
+    dealt = df.withColumn("__tie", F.xxhash64(*hashed)).repartitionByRange(n_buckets, F.col(id_col), F.col("__tie"))
+    path = shared_path(spark, f"ordered-index-{uuid.uuid4().hex}")
+    dealt.withColumn("__rb", F.spark_partition_id()).write.parquet(path)
+    work = spark.read.parquet(path)
+    out = _dense_index(work, F.col("__rb"), [F.col(id_col), F.col("__tie")], out_col, n_buckets > MAX_BUCKETS, work.select("__rb"))
+    return out.drop("__rb", "__tie")
 
 
 def shard(

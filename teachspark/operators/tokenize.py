@@ -13,6 +13,7 @@ Two paths:
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from ..config import BOS_ID, EOS_ID, FIRST_WORD_ID, TOKEN_PATTERN, TOKENIZE_MAX_LENGTH, UNK_ID
 
-# A literal map bigger than this belongs in a plug-in tokenizer instead.
-MAX_LITERAL_VOCAB = 1 << 17
+# A lookup table of more words belongs in a plug-in tokenizer instead.
+MAX_LITERAL_VOCAB = 1 << 20
 # Average words per hash bucket of the literal lookup table.
 WORDS_PER_BUCKET = 4
 
@@ -83,16 +84,11 @@ class Vocabulary:
         """
         if not self.words:
             return None
-        B = self.n_buckets
-        members: list[list[int]] = [[] for _ in range(B)]
+        members: list[dict[str, int]] = [{} for _ in range(self.n_buckets)]
         for i, b in enumerate(self._bucket_of):
-            members[b].append(i)
-        maps = []
-        for idx in members:
-            keys = F.array(*[F.lit(self.words[i]) for i in idx]) if idx else F.array().cast("array<string>")
-            vals = F.array(*[F.lit(FIRST_WORD_ID + i) for i in idx]) if idx else F.array().cast("array<int>")
-            maps.append(F.map_from_arrays(keys, vals))
-        return F.lit(B), F.array(*maps)
+            members[b][self.words[i]] = FIRST_WORD_ID + i
+        # One JSON text, which the optimizer parses and folds once: the plan has a single literal whatever the size.
+        return F.lit(self.n_buckets), F.from_json(F.lit(json.dumps(members, ensure_ascii=False)), "array<map<string,int>>")
 
     def ids(self, text: Column | str, add_bos: bool = False) -> Column:
         """Untruncated id array for a text column (native expression)."""

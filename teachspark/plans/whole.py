@@ -24,6 +24,7 @@ from ..operators import sparse_lm as SL
 from ..operators import train as TR
 from ..operators.filters import limit_batches
 from ..operators.prompts import build_examples
+from ..operators.tokenize import Vocabulary, tokenize
 from ..session import shared_path
 from ..sources import payloads as PA
 from ..sources import store as ST
@@ -171,6 +172,21 @@ def q_evaluate_onpolicy(spark, sf):
     return m.select(MT.prefix_metric("val", "metric").alias("name"), r6("value").alias("value"), "n_ranks")
 
 
+def q_tokenize_large(spark, sf):
+    """P5 with 32,000 words fitted on whole tables: every whole document's ids, in order, as a digest."""
+    rows = vocabulary_table(spark, sf, LARGE).orderBy("tok").collect()  # at most n_words
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    t = tokenize(docs, "text", Vocabulary(tuple(r["word"] for r in rows)), "ids", max_length=None)
+    return t.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(csv("ids").cast("binary")).alias("ids_md5"))
+
+
+def q_ordered_index(spark, sf):
+    """B2 in id order over many range partitions, ids repeated (each order as often as it has lines)."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    idx = B.ordered_index(lines, "l_orderkey", n_buckets=64)
+    return idx.groupBy("l_orderkey").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
 # ---- payloads, logs, snapshots ---------------------------------------------------
 
 

@@ -166,4 +166,9 @@ QUERIES: dict[str, str] = {
     "metrics_log": f"SELECT event_type AS run_id, count(*)::BIGINT AS n_rows, max(event_id // 10)::BIGINT AS last_step, {r6('avg(value)')} AS mean_value FROM events GROUP BY event_type",
     "snapshot_log": whole(*corpus(P.n_words))
     + "SELECT step, step IS NULL AS is_final, (SELECT count(*) FROM sp)::BIGINT AS n_rows, (SELECT sum(n) FROM sp)::BIGINT AS n FROM (VALUES (1::BIGINT), (2::BIGINT), (NULL)) x(step)",
+    "tokenize_large": whole(*corpus(LARGE_WORDS)[:2])
+    + f"""SELECT doc_id, count(word)::BIGINT AS n_tokens, md5(coalesce(string_agg(coalesce(tok, 3)::VARCHAR, ',' ORDER BY i) FILTER (word IS NOT NULL), '')) AS ids_md5
+          FROM (SELECT d.doc_id, x.word, x.i FROM documents d LEFT JOIN LATERAL (SELECT unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT regexp_extract_all(d.text, '{PAT}', 1) AS w)) x ON true)
+          LEFT JOIN voc USING (word) GROUP BY doc_id""",
+    "ordered_index": "SELECT l_orderkey, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last, count(*)::BIGINT AS n FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS idx FROM lineitem) GROUP BY l_orderkey",
 }

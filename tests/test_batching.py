@@ -94,3 +94,26 @@ def test_epochs_skip_and_limits(spark):
     assert sorted(r["batch_no"] for r in FL.limit_batches(df, 1).collect()) == [0, 1]  # cap+1 batches
     assert sorted(r["batch_no"] for r in FL.limit_batches(df, 1, inclusive=False).collect()) == [0]
     assert sorted(r["step"] for r in FL.limit_steps(e, 4).collect()) == [0, 1, 2, 3]
+
+
+def test_exact_split_refines_the_prefix_until_few_rows_are_sorted(spark, monkeypatch):
+    monkeypatch.setattr(B, "SORTED_ROWS", 1)
+    monkeypatch.setattr(B, "RADIX_DIGITS", 1)
+    df = ids(spark, 997)
+    want = {r["id"]: r["split"] for r in B.split_train_test(df, frac=0.05, exact=True).collect()}
+    assert sum(s == "test" for s in want.values()) == 50
+    monkeypatch.undo()
+    assert want == {r["id"]: r["split"] for r in B.split_train_test(df, frac=0.05, exact=True).collect()}
+    prefix, need = B._boundary(df.select(B.keyed_md5(B.DEFAULT_SEED, "id").alias("__h")), 0.05)
+    assert len(prefix) == 3 and need >= 1
+    assert B.split_train_test(df.limit(0), frac=0.05, exact=True).count() == 0
+
+
+def test_ordered_index_spreads_a_repeated_id(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("row"))
+    out = B.ordered_index(df, "k", n_buckets=12)
+    rows = out.collect()
+    assert sorted(r["idx"] for r in rows) == list(range(3000)) and out.columns == ["k", "row", "idx"]
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["idx"])] == sorted(r["k"] for r in rows)

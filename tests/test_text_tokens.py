@@ -80,3 +80,17 @@ def test_mask_source_train_on_inputs(spark):
     r = df.select(mask_source("ids", 2).alias("a"), mask_source("ids", 2, True).alias("b")).first()
     assert list(r["a"]) == [IGNORE_INDEX, IGNORE_INDEX, 9] and list(r["b"]) == [7, 8, 9]
     assert F is not None
+
+
+def test_a_vocabulary_of_128k_words_is_one_literal(spark):
+    import time
+
+    from teachspark.operators.tokenize import Vocabulary, tokenize
+
+    vocab = Vocabulary(tuple(f"w{i:x}" for i in range(128_000)), pattern=r"\S+")
+    df = spark.createDataFrame([("w0 w1f3ff nothing w1 \"quoted\" w12",), ("",)], "text string")
+    vocab._bucket_of  # a job of its own
+    began = time.time()
+    out = tokenize(df, "text", vocab)
+    assert time.time() - began < 2
+    assert [r["input_ids"] for r in out.collect()] == [vocab.encode("w0 w1f3ff nothing w1 \"quoted\" w12"), []]
