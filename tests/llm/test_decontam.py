@@ -2,7 +2,8 @@
 
 import random
 
-from teachspark.llm.decontam import CHUNK, Index, Searcher, best_window, contaminated, drop_contaminated, normal
+from teachspark.llm import decontam
+from teachspark.llm.decontam import CHUNK, FUZZY, PIECE, Index, Searcher, best_window, codes, contaminated, drop_contaminated, normal
 
 WORDS = [a + b for a in "th er on an re he in ed nd ha".split() for b in "at en es of or nt ea ti to it".split()]
 
@@ -103,3 +104,65 @@ def test_items_across_the_border_of_a_piece():
     text = f"{filler[: CHUNK - 71].ljust(CHUNK - 71, 'z')} {worn} {prose(rng, 40)}"
     ((_, start, stop, edits),) = search.search([text])[0]
     assert edits == distance(item, worn) == distance(item, normal(text)[start:stop])
+
+
+def items_of(rng, n, low, high):
+    """Different items of ``low`` to ``high`` characters in normal form."""
+    out = set()
+    for _ in range(100 * n):
+        if len(out) < n and low <= len(t := normal(prose(rng, rng.randint(low // 5, high // 5 + 1)))) <= high:
+            out.add(t)
+    assert len(out) == n
+    return sorted(out)
+
+
+def test_short_items_are_found_whole():
+    """From FUZZY to PIECE characters no item within its edits is missed: the same pairs as brute force finds."""
+    rng = random.Random(8)
+    items = items_of(rng, 30, FUZZY, 30) + items_of(rng, 30, 30, PIECE - 1)
+    search = Searcher(Index.build(list(range(60)), items), 0.2)
+    for rate in (0.1, 0.2, 0.25):
+        texts = [normal(prose(rng, rng.randint(0, 12)) + " " + edit(rng, t, int(rate * len(t))) + " " + prose(rng, 12)) for t in items]
+        want = []
+        for text in texts:
+            near = ((i, best_window(t, text, len(t))[0], int(0.2 * len(t))) for i, t in enumerate(items))
+            want.append([(i, edits) for i, edits, limit in near if edits <= limit])
+        assert [[(m[0], m[3]) for m in f] for f in search.search(texts)] == want
+        # The same when places are held a few at a time.
+        saved, decontam.SPOTS = decontam.SPOTS, 3
+        try:
+            assert [[(m[0], m[3]) for m in f] for f in search.search([" ".join(texts)])] == [[(m[0], m[3]) for m in f] for f in Searcher(search.index, 0.2).search([" ".join(texts)])]
+            assert [[(m[0], m[3]) for m in f] for f in search.search(texts)] == want
+        finally:
+            decontam.SPOTS = saved
+
+
+def test_whole_result_equals_brute_force(spark):
+    rng = random.Random(12)
+    items = [(i, t) for i, t in enumerate(items_of(rng, 10, 16, 40) + items_of(rng, 10, 64, 110) + items_of(rng, 10, 150, 260))]
+    texts = [prose(rng, 25) + " " + edit(rng, t, len(t) // 10) + "\n" + prose(rng, 25) for _, t in items] + [prose(rng, 90) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for doc, text in enumerate(texts):
+        for i, t in items:
+            edits, _, _ = best_window(t, normal(text), len(t))
+            if edits <= int(0.2 * len(t)):
+                want.add((doc, i, edits, len(t)))
+    got = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.edits, r.item_chars) for r in got.collect()} == want and len(want) >= 30
+    # Items that read alike are reported under each of their ids.
+    twice = spark.createDataFrame([*items, (100, items[25][1].upper()), (None, items[25][1])], "item_id long, text string")
+    found = {r.item_id for r in contaminated(docs.where("doc_id = 25"), twice).collect()}
+    assert {25, 100, None} <= found
+
+
+def test_items_with_one_stem():
+    """Many items share their beginning: each is still found, and few collisions with the stem alone are left to verify."""
+    rng = random.Random(13)
+    stem = "which of the following statements about "
+    items = [normal(stem + prose(rng, rng.randint(9, 30))) for _ in range(1500)]
+    search = Searcher(Index.build(list(range(1500)), items), 0.2)
+    stems = " ".join(prose(rng, 15) + " " + stem + prose(rng, 25) for _ in range(8))
+    assert len(search.candidates(codes(normal(stems)))) <= 100
+    texts = [stems + " " + edit(rng, items[i], len(items[i]) // 10) for i in (0, 700, 1499)]
+    assert [{m[0] for m in f} >= {i} for f, i in zip(search.search(texts), (0, 700, 1499), strict=True)] == [True] * 3
