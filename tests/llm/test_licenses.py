@@ -54,3 +54,27 @@ def test_own_templates_and_marking_words(spark, notices):
         grams = bigrams_of(text)
         left = [b for b in grams if not marks & set(b.split())]
         assert len(left) < len(grams) * 0.8 / 1.2
+
+
+def test_realistic_notices(spark):
+    text = {}
+    for name, body in TEMPLATES:
+        text[name] = max(text.get(name, ""), body, key=len)
+    code = "int main(void) {\n  int n = 0;\n  while (n < 10) n++;\n  return n;\n}\n" * 20
+    lines = lambda body: "\n".join(" * " + body[i : i + 70] for i in range(0, len(body), 70))
+    bullets = text["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    prose = "We met on a rainy day and talked for hours. Nobody took notes. "
+    notices = {
+        1: ("MIT", "Copyright (c) 2021 Some People. Released under the MIT License. All rights reserved by the people named above."),
+        2: ("BSD-3-Clause", "Copyright (c) 2021, Some People.\n\n" + bullets),
+        3: ("ISC", "Copyright (c) 2021 Some People\n\n" + text["ISC"]),
+        4: ("BSD-2-Clause", prose * 30 + text["BSD-2-Clause"] + " " + prose * 30),
+        5: ("MIT", "/*\n" + lines(text["MIT"]) + "\n */\n" + code),
+        6: ("Unlicense", prose * 9 + text["Unlicense"].replace("  ", " ") + "\n" + code),
+        7: ("Zlib", text["Zlib"].upper()),
+    }
+    df = spark.createDataFrame([(i, t) for i, (_, t) in notices.items()] + [(8, prose * 50 + code), (9, ". " * 50), (10, "Software is provided. " * 40)], "doc_id long, text string")
+    same(spark, df)
+    found = {(r.doc_id, r.license) for r in scan_licenses(df).collect()}
+    assert {(i, name) for i, (name, _) in notices.items()} <= found
+    assert not {8, 9, 10} & {d for d, _ in found}
