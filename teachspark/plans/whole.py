@@ -28,6 +28,7 @@ from ..operators.tokenize import Vocabulary, tokenize
 from ..session import shared_path
 from ..sources import payloads as PA
 from ..sources import store as ST
+from ..sources.instructions import read_instructions
 from ..sources.tables import table
 from . import stages as PL
 from .queries import csv, r6, r9
@@ -180,6 +181,13 @@ def q_tokenize_large(spark, sf):
     return t.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(csv("ids").cast("binary")).alias("ids_md5"))
 
 
+def q_instructions_without_id(spark, sf):
+    """S1 from a raw table that has no ids."""
+    path = shared_path(spark, f"instructions-raw-{uuid.uuid4().hex}")
+    PL.instructions(spark, sf).drop("id").write.parquet(path)
+    return read_instructions(spark, path)
+
+
 def q_ordered_index(spark, sf):
     """B2 in id order over many range partitions, ids repeated (each order as often as it has lines)."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")

@@ -57,6 +57,10 @@ def whole(*ctes: str, names: tuple[str, ...] = (), recursive: bool = False) -> s
     return head + ",\n".join(ctes) + "\n"
 
 
+# A row's texts, each preceded by its length.
+CONTENT_KEY = "md5(" + " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("instruction", "input", "output")) + ")"
+
+
 # Summary of a sparse model: what no context has seen adds up in closed form.
 def _summary(model: str, pairs: str, contexts: str, alpha: float) -> str:
     p = f"((n + {alpha} * u) / (nc + {alpha}))"
@@ -170,5 +174,7 @@ QUERIES: dict[str, str] = {
     + f"""SELECT doc_id, count(word)::BIGINT AS n_tokens, md5(coalesce(string_agg(coalesce(tok, 3)::VARCHAR, ',' ORDER BY i) FILTER (word IS NOT NULL), '')) AS ids_md5
           FROM (SELECT d.doc_id, x.word, x.i FROM documents d LEFT JOIN LATERAL (SELECT unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT regexp_extract_all(d.text, '{PAT}', 1) AS w)) x ON true)
           LEFT JOIN voc USING (word) GROUP BY doc_id""",
+    "instructions_without_id": _with("ins")
+    + f"SELECT row_number() OVER (ORDER BY {CONTENT_KEY}) - 1 AS id, instruction, input, output FROM ins",
     "ordered_index": "SELECT l_orderkey, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last, count(*)::BIGINT AS n FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS idx FROM lineitem) GROUP BY l_orderkey",
 }

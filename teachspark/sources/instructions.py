@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.batching import ordered_index
+
 INSTRUCTION_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
@@ -20,15 +22,43 @@ INSTRUCTION_SCHEMA = T.StructType(
 )
 
 
-def read_instructions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read with an explicit schema (no inference); extra columns are ignored."""
+def read_instructions(spark: SparkSession, path: str, fmt: str = "parquet", has_id: bool | None = None) -> DataFrame:
+    """Read with an explicit schema (no inference); extra columns are ignored.
+
+    Tables without ``id`` get :func:`with_row_ids`. Unless ``has_id`` says which it is, a Parquet table's
+    schema tells, of a JSON table whether any row has an id; a CSV table is read by position and has one.
+    """
     reader = spark.read.format(fmt)
     if fmt in ("json", "csv"):
-        reader = reader.schema(INSTRUCTION_SCHEMA)
+        fields = [f for f in INSTRUCTION_SCHEMA.fields if has_id is not False or f.name != "id"]
+        reader = reader.schema(T.StructType(fields))
     df = reader.load(path)
+    if has_id is None:
+        has_id = fmt == "csv" or "id" in df.columns
+        if fmt == "json":
+            has_id = not df.filter(F.col("id").isNotNull()).isEmpty()
+    texts = df.select(*[F.col(f.name).cast(f.dataType) for f in INSTRUCTION_SCHEMA.fields if f.name != "id"])
+    if not has_id:
+        return with_row_ids(texts)
     return df.select(*[F.col(f.name).cast(f.dataType) for f in INSTRUCTION_SCHEMA.fields])
 
 
+def content_key(*cols: str) -> Column:
+    """Hex md5 of the columns' texts, each preceded by its length, so that neither borders nor nulls are confused."""
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in cols]))
+
+
+def with_row_ids(texts: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """Dense ids from 0 in the order of the rows' content keys: the same rows get the same ids however they are stored.
+
+    Equal rows stay, with consecutive ids; which of them gets which makes no difference. A running
+    number tells them apart while rows are dealt to range partitions, so many copies of one row fill several.
+    """
+    cols = [f.name for f in INSTRUCTION_SCHEMA.fields if f.name != "id"]
+    keyed = texts.select(*cols, content_key(*cols).alias("__key"), F.monotonically_increasing_id().alias("__copy"))
+    return ordered_index(keyed, "__key", "id", n_buckets=n_buckets).select("id", *cols)
+
+
 def row_id(conv_id: str, turn: str) -> Column:
     """Collision-free id of ``(conversation, turn)``: Cantor's pairing of two non-negative numbers.
 

@@ -4,7 +4,7 @@ import pytest
 
 from teachspark.operators.tokenize import PluginTokenizer, Vocabulary, tokenize, tokenize_with
 from teachspark.session import ensure_checkpoint_dir, input_signature
-from teachspark.sources.instructions import instructions_from_conversations, row_id, split_rejects
+from teachspark.sources.instructions import instructions_from_conversations, read_instructions, row_id, split_rejects, with_row_ids
 
 
 def test_adapter_pairs_turns(spark):
@@ -94,3 +94,23 @@ def test_read_scores_prunes_columns(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint,pos:int,logits:array<float>>" in plan
     assert df.first()["pos"] == 0
+
+
+def test_raw_tables_without_id(spark, tmp_path):
+    rows = [(f"q{i}", None if i % 3 else "", f"a{i % 7}") for i in range(40)] + [("copy", "", "same")] * 30
+    rows += [("ab", "", "c"), ("a", "b", "c"), (None, "x", "y"), ("", "", ""), (None, None, None)]
+    raw = spark.createDataFrame(rows, "instruction string, input string, output string")
+    raw.write.parquet(f"{tmp_path}/p")
+    raw.repartition(5).write.json(f"{tmp_path}/j")
+    content = lambda df: [tuple(r)[1:] for r in df.orderBy("id").collect()]
+    whole = read_instructions(spark, f"{tmp_path}/p")
+    assert whole.columns == ["id", "instruction", "input", "output"]
+    assert sorted(r["id"] for r in whole.collect()) == list(range(len(rows)))
+    assert sorted(content(whole), key=str) == sorted(rows, key=str)
+    # The same ids from other files, and over several range partitions.
+    assert content(read_instructions(spark, f"{tmp_path}/j", "json")) == content(whole)
+    assert content(with_row_ids(raw.repartition(3), n_buckets=6)) == content(whole)
+    assert read_instructions(spark, f"{tmp_path}/j", "json", has_id=False).count() == len(rows)
+    whole.write.json(f"{tmp_path}/k")
+    assert content(read_instructions(spark, f"{tmp_path}/k", "json")) == content(whole)
+    assert with_row_ids(raw.limit(0)).count() == 0
