@@ -8,8 +8,9 @@ then compared by a join of their observed pairs; the tokens that neither has
 seen after a context add up in closed form, since there P = lt * u and
 S = ls * u. Work and storage follow the pairs seen, never V squared.
 
-Words are counted as words and numbered after counting: a vocabulary of any
-size is a table, joined with the distinct pairs.
+Words are numbered before they are counted, so that what is shuffled follows the
+pairs of ids. Only a vocabulary too large for a literal is a table, joined with
+the distinct pairs of words.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BOS_ID, EOS_ID, FIRST_WORD_ID, TOKEN_PATTERN, UNK_ID
+from .table_lm import bigram_counts
+from .tokenize import Vocabulary
 
 #: Rows up to which a table whose size a parameter bounds (vocabulary, contexts) is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Words up to which a vocabulary becomes a literal lookup, so that words are numbered where they are split.
+LITERAL_WORDS = 1 << 16
 # Marks of a text's beginning and end; no word holds a space.
 _BEGIN, _END = " b", " e"
 
@@ -59,8 +64,21 @@ def number_words(df: DataFrame, vocab: DataFrame, n_words: int, columns: dict[st
     return df
 
 
+def literal_vocabulary(vocab: DataFrame, n_words: int, pattern: str = TOKEN_PATTERN) -> Vocabulary | None:
+    """A vocabulary table as a literal lookup; None if it may have too many words or isn't numbered from FIRST_WORD_ID."""
+    if n_words > LITERAL_WORDS:
+        return None
+    rows = vocab.select("word", "tok").orderBy("tok").limit(n_words + 1).collect()
+    words = tuple(r["word"] for r in rows)
+    numbered = [r["tok"] for r in rows] == list(range(FIRST_WORD_ID, FIRST_WORD_ID + len(rows)))
+    return Vocabulary(words, pattern) if numbered and len(rows) <= n_words and None not in words and len(set(words)) == len(words) else None
+
+
 def pair_counts(texts: DataFrame, vocab: DataFrame, n_words: int, text_col: str = "text", pattern: str = TOKEN_PATTERN) -> DataFrame:
     """``(ctx, tok, n)`` over all adjacent words, begin and end included; null texts count nothing."""
+    known = literal_vocabulary(vocab, n_words, pattern)
+    if known is not None:
+        return bigram_counts(texts.select(known.ids(text_col).alias("input_ids")))
     s = F.concat(F.array(F.lit(_BEGIN)), split_words(text_col, pattern), F.array(F.lit(_END)))
     n = F.size("s") - 1
     pairs = F.arrays_zip(F.slice("s", 1, n).alias("w1"), F.slice("s", 2, n).alias("w2"))

@@ -101,3 +101,20 @@ def test_no_table_is_multiplied_out(spark, models):
     """The plan joins pairs on (ctx, tok): nothing of V * V rows, no nested loop but over one row."""
     plan = SL.context_divergence(*models[:2])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Range (1, 82" not in plan
+
+
+def test_words_are_numbered_before_pairs_are_counted(spark, monkeypatch):
+    """No pair of words is shuffled, and the counts are those of numbering afterwards."""
+    texts = spark.createDataFrame([(t,) for t in [*TEXTS, 'say "hi" \\ to the cat', "été 12 12!", "  "]], "text string")
+    vocab = SL.vocabulary_table(texts, 12)
+    got = SL.pair_counts(texts, vocab, 12)
+    assert "w1" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(SL, "LITERAL_WORDS", 0)
+    later = SL.pair_counts(texts, vocab, 12)
+    assert "w1" in later._jdf.queryExecution().executedPlan().toString()
+    assert rows == sorted(map(tuple, later.collect())) and got.schema.simpleString() == later.schema.simpleString()
+    # Ids that don't run from the first word's on are taken as they are.
+    monkeypatch.setattr(SL, "LITERAL_WORDS", 100)
+    odd = vocab.withColumn("tok", (vocab["tok"] * 2).cast("int"))
+    assert {r["tok"] for r in SL.pair_counts(texts, odd, 12).collect()} <= {2, 3, *range(8, 32, 2)}
