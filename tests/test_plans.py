@@ -46,3 +46,19 @@ def test_filters_reach_the_scan(spark):
     df = table(spark, SF001, "documents").filter(F.col("lang") == "en").select("text")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "ReadSchema: struct<text:string,lang:string>" in plan
+
+
+def test_models_read_written_counts(spark, tmp_path):
+    """The fit reads its counts three times; the texts are split once."""
+    from teachspark.config import PINS
+    from teachspark.plans import stages as PL
+
+    docs = [("the cat sat", "en"), ("the dog", "en"), ("der Hund", "de"), (None, "en")]
+    spark.createDataFrame(docs, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(i, t) for i, t in enumerate(["a cat", "the cat sat", None, ""])]
+    spark.createDataFrame(turns, "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for fit in (PL._teacher_lm, PL._student_lm):
+        model = fit(spark, str(tmp_path), PINS)
+        plan = _plan(model)
+        assert "regexp_extract_all" not in plan and "conversations.parquet" not in plan
+        assert model.count() == PINS.vocab_size**2
