@@ -93,6 +93,20 @@ def test_distill_loss_falls(spark, tmp_path):
     assert len(plan.splitlines()) <= 2 and "Relation" in plan
 
 
+def test_positions_are_written_for_steps_that_run(spark, tmp_path):
+    """Two steps of twelve: two folders of positions; a run whose steps have none still moves nothing."""
+    import os
+
+    W, teacher, pos = _tables(spark)
+    steps = pos.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    seen = []
+    cfg = TR.DistillConfig(steps=2, learning_rate=0.1, world_size=2)
+    TR.distill(spark, W, teacher, steps, cfg, progress=lambda *a: seen.append(os.listdir(tmp_path / "a" / "positions")), work_dir=str(tmp_path / "a"))
+    assert [sorted(x for x in names if x.startswith("step=")) for names in seen] == [["step=0", "step=1"]] * 2
+    _, curve = TR.distill(spark, W, teacher, steps.where("step > 5"), cfg, work_dir=str(tmp_path / "b"))
+    assert [(r["loss"], r["grad_norm"]) for r in curve.collect()] == [(0.0, 0.0)] * 2
+
+
 def test_skipped_batches_do_not_move_the_optimizer(spark):
     """With the first two batches skipped, the first real update has t = 1 and the schedule's first rate."""
     W, teacher, pos = _tables(spark)
