@@ -77,6 +77,12 @@ def test_sampling_does_not_hang_on_partitions(spark, model):
         assert n == len(new) <= budget and finished == (EOS in new) and (EOS not in new[:-1])
 
 
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark, model):
+    df = spark.createDataFrame([(i, i % 2, SEQS[i % 6], 3) for i in range(64)], "id long, rank int, input_ids array<int>, budget int").coalesce(1)
+    parts = PM.sample_prefix_model(df, PM.shared(spark, model), 7, keep=("rank",)).rdd.glom().map(len).collect()
+    assert sum(parts) == 64 and max(parts) < 64 / 2
+
+
 def test_judged_positions():
     full = np.array([4, 2, 5, 6, 0, 2])
     assert PM.judged_positions(full[:3], full, 2).tolist() == [1, 2, 4]  # a padding id in the prompt and a filler are not judged
