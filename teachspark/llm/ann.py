@@ -126,20 +126,24 @@ def _pairs(graph: DataFrame) -> DataFrame:
     return graph.select("node", F.explode(F.arrays_zip("near", "scores", "new")).alias("x")).select("node", F.col("x.near").alias("near"), F.col("x.scores").alias("score"), F.lit(0).alias("new"))
 
 
-def block_pairs(nodes: DataFrame, n: int, number: int, k: int, block: int) -> DataFrame:
-    """Each node's nearest in its random block: blocks are what hyperplanes leave together, cut by a hash to a bounded size."""
+def block_pairs(nodes: DataFrame, n: int, numbers: int, k: int, block: int) -> DataFrame:
+    """Each node's nearest in ``numbers`` random blocks: blocks are what hyperplanes leave together, cut by a hash to a bounded size.
+
+    All dealings go through one plan, told apart by their number: the driver plans, broadcasts and tracks one job whatever their count.
+    """
     planes = int(np.ceil(np.log2(n / (block / 2)))) if n > block else 0
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, _ = _matrix(batch["vec"].tolist())
-            normal = np.random.default_rng(7000 + number).standard_normal((x.shape[1], max(planes, 1))).astype(np.float32)
-            code = ((x @ normal > 0)[:, :planes] @ (1 << np.arange(planes, dtype=np.int64))) if planes else np.zeros(len(x), np.int64)
-            yield pd.DataFrame({"side": code, "node": batch["node"], "vec": batch["vec"]})
+            for number in range(numbers):
+                normal = np.random.default_rng(7000 + number).standard_normal((x.shape[1], max(planes, 1))).astype(np.float32)
+                code = ((x @ normal > 0)[:, :planes] @ (1 << np.arange(planes, dtype=np.int64))) if planes else np.zeros(len(x), np.int64)
+                yield pd.DataFrame({"number": np.full(len(x), number, np.int32), "side": code, "node": batch["node"], "vec": batch["vec"]})
 
-    coded = nodes.select("node", "vec").mapInPandas(sides, "side long, node long, vec binary")
-    sizes = coded.groupBy("side").agg(F.ceil(F.count("*") / block).alias("pieces"))  # at most n / (block / 2) rows
-    coded = coded.join(sizes, "side").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(number)), "pieces"))
+    coded = nodes.select("node", "vec").mapInPandas(sides, "number int, side long, node long, vec binary")
+    sizes = coded.groupBy("number", "side").agg(F.ceil(F.count("*") / block).alias("pieces"))  # at most n / (block / 2) rows a number
+    coded = coded.join(sizes, ["number", "side"]).withColumn("piece", F.pmod(F.xxhash64("node", "number"), "pieces"))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         (x, factor), ids = _matrix(pdf["vec"].tolist()), pdf["node"].to_numpy()
@@ -156,7 +160,7 @@ def block_pairs(nodes: DataFrame, n: int, number: int, k: int, block: int) -> Da
         node, near, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"node": node, "near": near, "score": score, "new": np.ones(len(node), np.int32)})
 
-    return coded.groupBy("side", "piece").applyInPandas(nearest, "node long, near long, score double, new int")
+    return coded.groupBy("number", "side", "piece").applyInPandas(nearest, "node long, near long, score double, new int")
 
 
 def descend(nodes: DataFrame, graph: DataFrame, degree: int, sample: int, number: int) -> DataFrame:
@@ -198,12 +202,9 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE) ->
     spark = nodes.sparkSession
     n = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000 + 1)
-    found = None
     # Small tables are dealt over some four blocks too.
     block = min(BLOCK, max(ONE, -(-n // 4)))
-    for number in range(PASSES if n > block else 1):
-        part = block_pairs(nodes, n, number, degree, block)
-        found = part if found is None else found.unionByName(part)
+    found = block_pairs(nodes, n, PASSES if n > block else 1, degree, block)
     graph = cut(best_of(found, degree, parts), "ann-graph")
     for number in itertools.count():
         more = descend(nodes, graph, degree, sample, number).unionByName(_pairs(graph))

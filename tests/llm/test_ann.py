@@ -77,3 +77,17 @@ def test_small_tables_descend_until_lists_are_still(spark, monkeypatch):
     graph = ann.build_graph(ann.nodes_of(rows, "embedding", "vec_id", 1), degree=8, sample=8)
     changed = sum(sum(r.new) for r in graph.collect())
     assert (changed <= ann.STILL * 8 * 600, len(changes) > 4) == (True, True), (changed, changes)
+
+
+def test_all_dealings_are_one_plan(spark):
+    """However many dealings: one grouped map, whose rows hold each dealing's neighbours."""
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 12)))], "vec_id long, embedding array<double>")
+    nodes = ann.nodes_of(rows, "embedding", "vec_id", 1)
+    pairs = ann.block_pairs(nodes, 600, 3, 4, 128)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    found = {}
+    for r in pairs.collect():
+        found.setdefault(r.node, []).append(r.near)
+    assert len(found) == 600 and all(i not in near for i, near in found.items())
+    assert sum(map(len, found.values())) > 0.9 * 600 * 3 * 4 and sum(len(set(near)) for near in found.values()) > 600 * 6
