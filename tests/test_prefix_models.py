@@ -116,6 +116,36 @@ def test_a_model_too_large_to_broadcast_is_refused(spark, monkeypatch):
         PM.fit_backoff(spark.createDataFrame([(s,) for s in SEQS], "input_ids array<int>"), V, 1.0, 1.0)
 
 
+def test_workers_load_the_written_counts(spark, model, tmp_path):
+    df = spark.createDataFrame([(s,) for s in SEQS] + [(None,)], "input_ids array<int>")
+    PM.triple_counts(df, V).write.parquet(f"{tmp_path}/triples")
+    PM.context_rows(spark.read.parquet(f"{tmp_path}/triples"), V).repartition(5).write.parquet(f"{tmp_path}/contexts")
+    stored = PM.stored(f"file://{tmp_path}/contexts", V, 1.5, 0.5)
+    contexts = np.array([[a, b] for a in range(V + 1) for b in range(1, V + 1)])
+    assert (stored().next_logits(contexts) == model.next_logits(contexts)).all() and (stored().u == model.u).all()
+    rows = [(i, SEQS[i % 6], [3, 0, 12, 40][i % 4]) for i in range(40)]
+    prompts = spark.createDataFrame(rows, "id long, input_ids array<int>, budget int")
+    run = lambda m: sorted((r["id"], tuple(r["new_ids"])) for r in PM.sample_prefix_model(prompts, m, 7).collect())
+    assert run(stored) == run(PM.shared(spark, model))
+    PM.context_rows(PM.triple_counts(df.limit(0), V), V).write.parquet(f"{tmp_path}/none")
+    assert np.allclose(np.exp(PM.load_backoff(f"{tmp_path}/none", V, 1.5, 0.5).next_logits(np.array([[4, 5]]))), 1 / V)
+
+
+def test_models_of_whole_tables_never_reach_the_driver(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql import DataFrame
+
+    from teachspark.plans import whole
+
+    def refused(*_):
+        raise AssertionError("counts on the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    monkeypatch.setattr(SparkContext, "broadcast", refused)
+    for model in whole.backoff_models(spark, "/root/testdata/sf0.001"):
+        assert np.allclose(np.exp(model().next_logits(np.array([[5, 6], [1, 4], [0, 3]]))).sum(1), 1)
+
+
 def test_draws_follow_the_distribution():
     logits = np.log(np.array([[0.1, 0.2, 0.7]])).repeat(4, 0)
     assert PM.draw(logits, np.array([0.05, 0.1, 0.299, 0.999999])).tolist() == [1, 2, 2, 3]
