@@ -7,7 +7,8 @@ sentence weights, which then also say where the offending sentences are.
 
 The fit sees at most ``SAMPLE`` labelled rows (those with the least hash of their id, so any run
 takes the same), of which Spark counts words and finds the lexicon; what reaches the driver is the
-lexicon (``LEXICON`` words) and, for each sampled document, the lexicon words of its sentences.
+lexicon (``LEXICON`` words) and, for each sampled document, the lexicon words of its sentences, two
+bytes each; the fit spreads them out piece by piece.
 Scoring covers every document and is one map without a shuffle.
 """
 
@@ -96,31 +97,52 @@ class Model:
         return float(-np.expm1(-total)), worst
 
 
-def fit_noisy_or(bags: list[tuple[int, list[list[int]]]], labels: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias that make the labels likely. A bag is its sentence count and the word ids of those sentences that have any.
+#: Lexicon ids of the sample that a step of the fit spreads out at a time (or one document's).
+PIECE = 1 << 20
+
+
+def pack(found: list[list[int]]) -> bytes:
+    """Sentences' lexicon ids, each plus one in two bytes, a zero after each sentence. Bytes compare as the lists do."""
+    return np.array([x for ids in found for x in (*[i + 1 for i in ids], 0)], ">u2").tobytes()
+
+
+def fit_noisy_or(counts: list[int], bags: list[bytes], labels: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias that make the labels likely. A bag is a document's sentence count and the word ids of those sentences that have any (see :func:`pack`).
 
     Weights begin at, and are drawn towards, ``prior``: what else is in a bag may explain its label
     without a word, which says nothing against the word.
     """
     words = len(prior)
-    owner = np.array([i for i, (_, found) in enumerate(bags) for _ in found], np.int64)
-    plain = np.array([max(0, n - len(found)) for n, found in bags], float)
-    sizes = np.array([len(ids) for _, found in bags for ids in found], np.int64)
-    flat = np.array([w for _, found in bags for ids in found for w in ids], np.int64)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    codes = np.frombuffer(b"".join(bags), ">u2").astype(np.uint16)
+    ends = np.flatnonzero(codes == 0)
+    sizes, flat = np.diff(ends, prepend=-1) - 1, codes[codes > 0] - np.uint16(1)
+    found = np.diff(np.searchsorted(ends, np.cumsum([len(b) // 2 for b in bags])), prepend=0)
+    plain = np.maximum(0, np.array(counts) - found).astype(float)
+    # Pieces of whole bags, so that memory follows the piece: its bags, sentences and word ids from .. to.
+    sentences, ids = np.append(0, np.cumsum(found)), np.append(0, np.cumsum(sizes))
+    edges = np.append(np.flatnonzero(np.diff(ids[sentences[:-1]] // PIECE, prepend=-1)), len(bags))
+    pieces = [(slice(i, j), slice(sentences[i], sentences[j]), slice(ids[sentences[i]], ids[sentences[j]])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+    def spread(own: slice, mine: slice, at: slice) -> tuple:
+        return own, np.repeat(np.arange(own.stop - own.start), found[own]), np.repeat(np.arange(mine.stop - mine.start), sizes[mine]), flat[at].astype(np.int64)
+
+    whole = [spread(*pieces[0])] if len(pieces) == 1 else None
     y = labels.astype(float)
     share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     start = np.log(share / max(1.0, (plain.sum() + len(sizes)) / len(bags)))
     theta = np.append(prior, start)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        z = theta[-1] + np.bincount(sentence, theta[flat], len(sizes))
-        total = np.bincount(owner, np.logaddexp(0, z), len(bags)) + plain * np.logaddexp(0, theta[-1])
-        total = np.maximum(total, 1e-9)
-        # d(-log likelihood) / d total: 1 for clean bags, -1 / (e^total - 1) for toxic ones.
-        pull = np.where(y > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)
-        part = pull[owner] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(flat, part[sentence], words), part.sum() + (pull * plain).sum() / (1 + np.exp(-theta[-1]))) / len(bags)
+        grad = np.zeros_like(theta)
+        for own, owner, sentence, word in whole or (spread(*p) for p in pieces):
+            z = theta[-1] + np.bincount(sentence, theta[word], len(owner))
+            total = np.bincount(owner, np.logaddexp(0, z), own.stop - own.start) + plain[own] * np.logaddexp(0, theta[-1])
+            total = np.maximum(total, 1e-9)
+            # d(-log likelihood) / d total: 1 for clean bags, -1 / (e^total - 1) for toxic ones.
+            pull = np.where(y[own] > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)
+            part = pull[owner] / (1 + np.exp(-z))
+            grad += np.append(np.bincount(word, part[sentence], words), part.sum() + (pull * plain[own]).sum() / (1 + np.exp(-theta[-1])))
+        grad /= len(bags)
         grad[:-1] += DECAY * (theta[:-1] - prior)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -166,11 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         memory: dict[str, list[int]] = {}
         for batch in batches:
             found = [sentence_features(t, lexicon, memory) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"].astype("int32"), "n": [c for c, _ in found], "ids": [[ids for _, _, ids in s] for _, s in found]})
+            yield pd.DataFrame({"toxic": batch["toxic"].astype("int32"), "n": [c for c, _ in found], "ids": [pack([ids for _, _, ids in s]) for _, s in found]})
 
-    got = examples.select("toxic", "text").mapInPandas(bags, "toxic int, n long, ids array<array<int>>").collect()
+    got = examples.select("toxic", "text").mapInPandas(bags, "toxic int, n long, ids binary").collect()
     got.sort(key=lambda r: (r["toxic"], r["n"], r["ids"]))  # sums don't depend on the order rows came in
-    weights, bias = fit_noisy_or([(r["n"], r["ids"]) for r in got], np.array([r["toxic"] > 0 for r in got]), prior)
+    weights, bias = fit_noisy_or([r["n"] for r in got], [r["ids"] for r in got], np.array([r["toxic"] > 0 for r in got]), prior)
     return Model(lexicon, weights, bias)
 
 
