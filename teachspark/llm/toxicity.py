@@ -150,13 +150,13 @@ def fit_noisy_or(counts: list[int], bags: list[bytes], labels: np.ndarray, prior
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on documents (doc_id, text) whose label row (doc_id, toxic) is not null and not held out.
+    """Fit on documents (doc_id, text) whose label row (doc_id, toxic; a grade above 0 is toxic) is not null and not held out.
 
     Rows repeated in either table count as often as they match. Fewer than one example of each
     class gives the model that scores everything 0.
     """
     bounded_batches(docs.sparkSession)
-    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out("doc_id"))
+    rows = labels.select("doc_id", (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out("doc_id"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     examples = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null"), "toxic-sample")
     seen = examples.groupBy("toxic").count().collect()

@@ -114,3 +114,11 @@ def test_what_reaches_the_driver_is_a_few_bytes_a_word(spark, corpus, monkeypatc
     assert model.lexicon and sum(counts) > 100_000 and all(isinstance(b, bytes | bytearray) for b in bags)
     words = sum((np.frombuffer(b, ">u2") > 0).sum() for b in bags)
     assert sum(map(len, bags)) <= 4 * words
+
+
+def test_grades_count_as_two_classes(corpus):
+    """Labels of several grades: each class is counted whole, so the likelihood ratios have their right totals."""
+    docs, labels = corpus
+    graded = labels.selectExpr("doc_id", "case when toxic = 1 then 1 + doc_id % 3 else -(doc_id % 2) end as toxic")
+    a, b = train(docs, labels), train(docs, graded)
+    assert a.lexicon == b.lexicon and len(a.lexicon) and np.allclose([*a.weights, a.bias], [*b.weights, b.bias], atol=1e-9)
